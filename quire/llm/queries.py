@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .decontam import OP2_SQL, op2_decontaminate
+from .jaccard_join import OP7_SQL, op7_jaccard_join
+from .quality import op5_quality
 from .warc import OP1_SQL, op1_warc
 
-QUERIES = {"op1_warc": op1_warc, "op2_decontaminate": op2_decontaminate}
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL}
+QUERIES = {"op1_warc": op1_warc, "op2_decontaminate": op2_decontaminate, "op5_quality": op5_quality, "op7_jaccard_join": op7_jaccard_join}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op7_jaccard_join": OP7_SQL}
