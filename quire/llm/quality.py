@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .bytesvec import SPACE, R, mix, pieces, powers, span_hashes, text_buffer, words
-from .staging import prepare
+from .staging import free_name, prepare
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -197,8 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS) -> Model
 
 def with_score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
     """docs and a double column `name` (underscores are added while docs has a column of that name)."""
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
+    name = free_name(name, docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = docs.columns.index("text")
 

@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from .decontam import OP2_SQL, op2_decontaminate
 from .jaccard_join import OP7_SQL, op7_jaccard_join
+from .licences import OP10_SQL, op10_licences
+from .line_dedup import op4_line_dedup
+from .mixing import op9_mixing
 from .quality import op5_quality
 from .warc import OP1_SQL, op1_warc
 
-QUERIES = {"op1_warc": op1_warc, "op2_decontaminate": op2_decontaminate, "op5_quality": op5_quality, "op7_jaccard_join": op7_jaccard_join}
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op7_jaccard_join": OP7_SQL}
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_decontaminate": op2_decontaminate,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_quality": op5_quality,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op9_mixing": op9_mixing,
+    "op10_licences": op10_licences,
+}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op7_jaccard_join": OP7_SQL, "op10_licences": OP10_SQL}

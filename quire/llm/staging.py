@@ -66,5 +66,8 @@ class Stage:
             at.getFileSystem(conf).delete(at, True)
 
 
-def count_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores added while a column is called so."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
