@@ -23,8 +23,8 @@ from .html_blocks import Block, Element, blocks
 from .html_pages import MARK, labelled_pages
 from .staging import prepare
 
-PAGES, SEED = 800, 7
-STEPS, RATE, PENALTY = 100, 0.2, 1e-4
+PAGES, SEED = 700, 7
+STEPS, RATE, PENALTY = 150, 0.2, 2e-5
 
 
 def path_features(path: tuple[Element, ...]) -> list[str]:

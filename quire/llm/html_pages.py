@@ -116,8 +116,8 @@ class Generator:
             t = self.sentences(1, 9)
             if r.random() < 0.25:
                 t += f' <a href="/y">{self.words(1, 5)}</a> {self.sentence()}'
-            if r.random() < 0.12:
-                t = self.words(1, 5)
+            if r.random() < 0.25:
+                t = r.choice([self.words(1, 5), self.sentence(1, 4)])
             if r.random() < 0.2:
                 return f"<p><b>{self.mark(t)}<br>" + r.choice(["", "</p>"])
             if r.random() < 0.1:
@@ -141,8 +141,8 @@ class Generator:
         parts = [head] if r.random() < 0.9 else []
         for _ in range(r.choice([1, 2, 3, 4, 6, 8, 12])):
             parts.append(self.body_block())
-            if r.random() < 0.07:
-                parts.append(self.furniture(r.choice(["ad", "related", "form", "notice", "sidebar"])))
+            if r.random() < 0.12:
+                parts.append(self.furniture(r.choice(["ad", "ad", "related", "form", "notice", "sidebar"])))
         if r.random() < 0.12:
             parts.append(self.furniture(r.choice(["comments", "related", "form"])))
         inner = "".join(parts)

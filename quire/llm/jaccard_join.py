@@ -50,8 +50,8 @@ class Scheme:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         starts = [1]
-        while starts[-1] < 1 << 40:
-            starts.append(max(starts[-1] + 1, int(starts[-1] * BAND)))
+        while starts[-1] < 1 << 40:  # a band spans den / num at least, so a partner is in the next band at most
+            starts.append(max(starts[-1] + 1, int(starts[-1] * BAND), starts[-1] * den // num))
         self.starts = np.array(starts, dtype=np.int64)
         # Sizes below starts[j + 1]: the union is at most max / t, and the sets differ in at most (1 - t) of it.
         self.differ = (self.starts[1:] - 1) * (den - num) // num

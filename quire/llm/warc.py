@@ -83,7 +83,7 @@ def record_text(annotated: DataFrame) -> DataFrame:
         F.concat(F.lit("WARC-Target-URI: "), uri),  # null, and so left out, with a null url
         F.lit(f"WARC-Date: {WARC_DATE}"),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest")),
-        F.when(revisit, F.concat(F.lit("WARC-Block-Digest: sha256:"), F.sha2(http.cast("binary"), 256))),
+        F.concat(F.lit("WARC-Block-Digest: sha256:"), F.sha2(F.concat(http, body).cast("binary"), 256)),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), rid(F.col("first")))),
         F.lit("Content-Type: application/http; msgtype=response"),
@@ -108,7 +108,11 @@ def write_archives(pages: DataFrame, path: str, stage: Stage) -> list[str]:
 # --------------------------------------------------------------------------- reading
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_CANDIDATE = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.[01]\r\n|\x1f\x8b\x08")
+#: A version line (a truncated record may run into it) before a header line, or a gzip member's first bytes.
+_CANDIDATE = re.compile(rb"WARC/1\.[01]\r\n(?=[A-Za-z-]+:)|\x1f\x8b\x08")
+
+
+_SINGLE = frozenset(("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest", "warc-block-digest"))
 
 
 class BadRecord(ValueError):
@@ -127,7 +131,10 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
         name, colon, value = line.partition(b":")
         if not colon or not name.strip():
             raise BadRecord("malformed header line")
-        headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        key = name.strip().lower().decode("utf-8", "replace")
+        if key in headers and key in _SINGLE:
+            raise BadRecord("a header that occurs once is repeated")
+        headers[key] = value.strip().decode("utf-8", "replace")
     size = headers.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         raise BadRecord("bad content length")
