@@ -24,7 +24,7 @@ def recovered(tasks: DataFrame) -> DataFrame:
 
 def unexpired(tasks: DataFrame, now, max_age_seconds: int) -> DataFrame:
     """Without finished tasks that changed longer ago than the age (a task of just that age stays)."""
-    old = F.unix_micros("updated_at") < F.unix_micros(now) - F.lit(max_age_seconds * 1_000_000)
+    old = F.col("updated_at") < now - F.make_dt_interval(secs=F.lit(max_age_seconds))
     return tasks.filter(~(F.col("status").isin(*TERMINAL) & old))
 
 

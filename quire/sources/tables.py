@@ -87,15 +87,22 @@ sections AS (SELECT * FROM (SELECT page_id, pos, CASE WHEN substr(m, 2, 1) = 'h'
 """
 
 
+#: A purchase starts a task anew, but one in a hundred cancels it.
+STATUS = {"signup": "queued", "view": "running", "click": "completed", "error": "failed", "purchase": "running"}
+
+
+def task_status():
+    known = F.create_map(*(F.lit(x) for kv in STATUS.items() for x in kv))
+    return F.when((F.col("event_type") == "purchase") & (F.col("event_id") % 101 == 0), "cancelled").otherwise(F.element_at(known, F.col("event_type")))
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as a task log: a user is a task, an event a change of its status."""
-    status = F.create_map(*(F.lit(x) for kv in STATUS.items() for x in kv))
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("task_id"), "ts", "event_id", F.element_at(status, F.col("event_type")).alias("status"), "value", F.col("props").alias("payload"))
+    return e.select(F.col("user_id").alias("task_id"), "ts", "event_id", task_status().alias("status"), "value", F.col("props").alias("payload"))
 
 
-STATUS = {"signup": "queued", "view": "running", "click": "completed", "error": "failed", "purchase": "cancelled"}
 TASKS_SQL = """
-tasks AS (SELECT user_id AS task_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'completed'
-        WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'cancelled' END AS status, value, props AS payload FROM events)
+tasks AS (SELECT user_id AS task_id, ts, event_id, CASE WHEN event_type = 'purchase' AND event_id % 101 = 0 THEN 'cancelled' ELSE CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running'
+        WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'running' END END AS status, value, props AS payload FROM events)
 """
