@@ -186,19 +186,19 @@ def caption_type(c: Column) -> Column:
 
 def pipe_table(c: Column) -> Column:
     """Whether a text is a pipe table: two lines or more, all between pipes."""
-    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return (F.size(lines) >= 2) & F.forall(lines, lambda x: x.startswith("|") & x.endswith("|"))
 
 
 def pipe_rows(c: Column) -> Column:
     """Cells of a pipe table's rows, the ruling row left out."""
-    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: (x != "") & ~F.rlike(x, F.lit(r"^\|[\s:|-]+\|$")))
-    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), F.trim))
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.rlike(x, F.lit(r"^\|[\s:|-]+\|$")))
+    return F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), lambda x: F.trim(x)))
 
 
 def to_pipe_table(c: Column) -> Column:
     """Lines with columns apart by two blanks or a tab as a pipe table, ragged rows filled; other texts as they are."""
-    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = F.transform(lines, lambda x: F.split(x, r"\s{2,}|\t"))
     most = F.array_max(F.transform(rows, F.size))
     full = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), most - F.size(r))))
