@@ -229,6 +229,97 @@ def short_hash(c: Column) -> Column:
 
 
 def without_think(c: Column) -> Column:
-    """A model's answer without its thinking and code fences."""
-    c = F.regexp_replace(c, r"(?is)<think>.*?</think>", "")
-    return F.trim(F.regexp_replace(c, r"(?m)^```[a-zA-Z]*\s*$", ""))
+    """A model's answer without its thinking, closed or not, and without an outer code fence."""
+    c = strip(F.regexp_replace(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""), r"(?s)<think>.*$", ""))
+    c = F.regexp_replace(c, r"(?U)^```(?:markdown|json|text)?\s*\n?", "")
+    return strip(F.regexp_replace(c, r"(?U)\n?```\s*$", ""))
+
+
+# Font families by keyword, in order; function words; header patterns; progress lines.
+FONT_FAMILIES = (
+    ("kaiti", KAITI),
+    ("fangsong", ("fangsong", "fang_song", "fzfs", "stfangsong", "仿宋")),
+    ("songti", ("songti", "song_ti", "fzss", "fzsong", "stsong", "simsun", "nsimsun", "mingliu", "pmingliu", "宋", "明體", "明朝")),
+    ("heiti", ("heiti", "hei_ti", "fzht", "fzhei", "stheiti", "simhei", "yahei", "pingfang", "notosans", "sourcehansans", "黑")),
+    ("other", ("helv", "arial", "times", "courier", "calibri", "cambria", "georgia", "verdana", "tahoma", "symbol", "roboto", "opensans", "latin", "italic", "oblique")),
+)
+FUNCTION_WORDS = "的了在是有与和于为以从到对"
+PAGE_HEADERS = r"(?U)^[上下中]篇[:：|｜]|第[一二三四五六七八九十百]+章|^/\s*\d+|^\d+\s*/|^\d{1,4}$|^(?:目\s*录|序|结语|主要参考文献|后\s*记)\s*/|/\s*(?:目\s*录|序|结语|主要参考文献|后\s*记)"
+NOISE = r"^(?:Traceback |File \"|UserWarning:|FutureWarning:|DeprecationWarning:|RuntimeWarning:|warnings\.warn\()|site-packages"
+PROGRESS = ("[INFO]", "[WARN]", "[ERROR]", "[PROGRESS]", "[STAGE]", "[EngineDispatcher]", "[FontMap]", "[AI-Kaiti]", "Page ", "頁", "完成", "提取", "建構", "正在", "處理")
+
+
+def font_tag(c: Column) -> Column:
+    name = F.trim(F.lower(c))
+    out = F.when(name == "", F.lit(None).cast("string"))
+    for tag, words in FONT_FAMILIES:
+        out = out.when(any_of(name, words), tag)
+    return out
+
+
+def function_words(c: Column) -> Column:
+    """Number of function words in a text."""
+    return F.length(F.regexp_replace(c, f"[^{FUNCTION_WORDS}]", ""))
+
+
+def progress_line(c: Column) -> Column:
+    s = strip(c)
+    return (s != "") & ~F.rlike(s, F.lit(NOISE)) & any_of(s, PROGRESS)
+
+
+def page_header(text: Column, x0: Column, y0: Column, x1: Column, y1: Column, width: float, height: float) -> Column:
+    """A narrow strip at a side, or text in the top 13 % that looks like a running head, or a number or short path in the top 11 %."""
+    side = ((x0 > width * 0.88) | (x1 < width * 0.12)) & (x1 - x0 < 25)
+    t = strip(text)
+    looks = F.rlike(t, F.lit(PAGE_HEADERS)) | ((y0 < height * 0.11) & (F.rlike(t, F.lit(r"(?U)^\d+$")) | ((F.length(t) <= 30) & t.contains("/"))))
+    return side | ((y1 <= height * 0.13) & (t != "") & looks)
+
+
+def page_footer(text: Column, y0: Column, height: float) -> Column:
+    return (y0 >= height * 0.90) & F.rlike(text, F.lit(r"(?U)^\s*\d{1,4}\s*$"))
+
+
+def toc_title_level(c: Column) -> Column:
+    """3 for parenthesised and triple-decimal titles, 1 for parts, chapters and special pages, else 2."""
+    one = r"(?U)^(?:[上下中]\s*篇|第[一二三四五六七八九十百零]+[章卷篇編]|目錄|目录|序|結語|结语|後記|后记|前言|附錄|附录|主要參考文獻|主要参考文献)"
+    three = r"(?U)^(?:[(（][一二三四五六七八九十\d]+[)）]|\d+\.\d+\.\d+)"
+    return F.when(F.rlike(c, F.lit(one)), 1).when(F.rlike(c, F.lit(three)), 3).otherwise(2)
+
+
+def toc_line(c: Column) -> Column:
+    chapter = F.rlike(c, F.lit("^第[一二三四五六七八九十百]+[章節条條篇卷]")) & F.rlike(c, F.lit(r"(?U)\d+\s*$"))
+    return F.rlike(c, F.lit(r"(?U)[…·.]{2,}\s*\d+|\t\s*\d+\s*$")) | chapter
+
+
+def restored_symbols(c: Column) -> Column:
+    """Cut brackets of numerals, circled numbers read as digits, tildes in ranges, image tags without an image."""
+    c = F.regexp_replace(c, r"(?mU)^(\s*(?:>|\*|#)*\s*[*#]{0,3}\s*)([一二三四五六七八九十]+)[)）]", "$1（$2）")
+    for n in range(20, 0, -1):
+        c = F.regexp_replace(c, rf"(?mU)^(\s*(?:>|\*)*\s*){n}(?=[一-龥])", f"$1{chr(0x245F + n)}")
+    c = F.regexp_replace(c, r"(?U)(?<=\d)\s*~\s*(?=\d)", "～")
+    return F.regexp_replace(c, r"(?mU)^\s*!\[[^\]]*\]\(\s*\)(?:\{[^\n}]*\})?\s*\n?", "")
+
+
+def split_circled(c: Column) -> Column:
+    """A line end before circled numbers that do not begin a line."""
+    return F.regexp_replace(c, r"(?U)(?<=[^\n])\s*([①②③④⑤⑥⑦⑧⑨⑩])", "\n$1")
+
+
+BOUNDARY_TAGS = ("===HUMAN_EDITED_END===", "<!-- END_OF_SEED -->", "【人工整稿截止】", "【人工修改截止】", "===人工修改截止===")
+
+
+def without_boundary_tags(c: Column) -> Column:
+    for tag in BOUNDARY_TAGS:
+        c = F.replace(c, F.lit(tag), F.lit(""))
+    return strip(c)
+
+
+def boundary_tag(c: Column) -> Column:
+    return strip(c).isin(*BOUNDARY_TAGS)
+
+
+def valid_table(cells: Column, width: Column, height: Column, page_width: float) -> Column:
+    """Cells (array of rows) of a real table: large enough, more than one cell filled, enough characters for its width."""
+    texts = F.filter(F.transform(F.flatten(cells), lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", "")), lambda x: x != "")
+    chars = F.aggregate(texts, F.lit(0), lambda a, x: a + F.length(x))
+    return (width > 10) & (height > 10) & ~((width < page_width * 0.28) & (chars <= 8)) & (F.size(texts) > 1) & (chars > 4)

@@ -10,9 +10,14 @@ from ..functions.geometry import quantize
 # Patterns of captions, chapters, headings and table-of-contents lines.
 CAPTION = r"(?iU)^(?:表|图|圖|Table|Figure)\s*\d+(?:[\-.]\d+)*(?=[.、:：\s]|$)"
 CHAPTER = r"(?U)^第[一二三四五六七八九十百\d]+[章卷篇]"
-HEADING_1 = r"(?iU)^(?:[上下中]\s*篇(?:\s+[^\n]+)?|目\s*录|序|后\s*记|结\s*语|主要参考文献|(?:第[一二三四五六七八九十百零\d]+[章卷篇]|(?:Chapter|Part)\s*\d+)(?:\s+[^\n]+)?)$"
-HEADING_2 = r"(?U)^(?:第[一二三四五六七八九十百零\d]+[节節回讲講](?:\s+[^\n]+)?|[一二三四五六七八九十百]+[、.· ][^\n]{2,30}|\d+[\s　]+[一-鿿]{2,15}|\d+\.\d+(?:[\s　]+[^\n]{1,40})?)$"
-HEADING_3 = r"(?U)^\d+\.\d+\.\d+(?:[\s　]+[^\n]{1,40})?$"
+PART_HEADING = r"(?U)^(?:[上下中]\s*篇(?:\s+[^\n]+)?|目\s*录|目录|序|后\s*记|后记|结\s*语|结语|主要参考文献)$"
+CHAPTER_HEADING = r"(?iU)^(?:第[一二三四五六七八九十百零\d]+[章卷篇]|(?:Chapter|Part)\s*\d+)(?:\s+[^\n]+)?$"
+SECTION_HEADING = r"(?U)^第[一二三四五六七八九十百零\d]+[节節回讲講](?:\s+[^\n]+)?$"
+TRIPLE_DECIMAL = r"(?U)^\d+\.\d+\.\d+(?:[\s　]+[^\n]{1,40})?$"
+DECIMAL = r"(?U)^(?:\d+\.\d+(?:[\s　]+[^\n]{1,40})?|\d+[\s　]+[一-鿿]{2,15})$"
+ENUMERATED = r"(?U)^[一二三四五六七八九十百]+[、.· ][^\n]{2,30}$"
+PARENTHESISED = r"(?U)^[（(][一二三四五六七八九十\d]+[)）]"
+SENTENCE = "[。，；？！“”‘’：:]"
 TOC_LINE = r"(?U)[.…·_\-]{2,}\s*\d+$"
 
 
@@ -143,8 +148,13 @@ def heading_gate(text: Column, n_groups: Column, score: Column, lexical: Column,
 
 
 def regex_heading_level(text: Column) -> Column:
-    t = T.strip(text)
-    return F.when(F.rlike(t, F.lit(HEADING_1)), 1).when(F.rlike(t, F.lit(HEADING_3)), 3).when(F.rlike(t, F.lit(HEADING_2)), 2).otherwise(0)
+    """1 for parts and special pages, 2 for chapters and sections; without sentence punctuation 3 for triple decimals, enumerations and short parenthesised items, 2 for decimals; else 0."""
+    m = lambda p: F.rlike(text, F.lit(p))
+    bare = F.length(F.regexp_replace(text, "(?U)[①-⑳\\s]", ""))
+    return (
+        F.when(m(PART_HEADING), 1).when(m(CHAPTER_HEADING) | m(SECTION_HEADING), 2).when(m(SENTENCE), 0).when(m(TRIPLE_DECIMAL), 3)
+        .when(m(DECIMAL), 2).when(m(ENUMERATED), 3).when(m(PARENTHESISED) & bare.between(2, 30), 3).otherwise(0)
+    )
 
 
 def folio_sequence(numbers: DataFrame) -> DataFrame:

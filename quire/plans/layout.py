@@ -366,7 +366,7 @@ QUERIES = {
     "agg_font_census": (census, W + " SELECT font_family, round_even(font_size * 2, 0) / 2 AS size, count(*) AS n_spans, count(DISTINCT (book, page_num)) AS n_pages, CAST(sum(length(text)) AS BIGINT) AS n_chars, count(*) FILTER (y1 <= 50)::DOUBLE / count(*) AS top_ratio, count(*) FILTER (y0 >= 350)::DOUBLE / count(*) AS bottom_ratio FROM spans GROUP BY ALL"),
     "win_span_duplicates": (duplicates, W + " SELECT book, page_num, CAST(line_idx AS INTEGER) AS line_idx, text FROM (SELECT *, row_number() OVER (PARTITION BY book, page_num, x0, floor(y0 / 200), text ORDER BY line_idx) AS r FROM spans) WHERE r = 1 AND text <> ''"),
     "seq_heading_gate": (heading_roles, ROLES_SQL),
-    "seq_regex_heading_level": (regex_levels, W + " SELECT book, page_num, CAST(line_idx AS INTEGER) AS line_idx, CASE line_idx % 8 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 2 WHEN 6 THEN 2 ELSE 0 END AS level FROM spans"),
+    "seq_regex_heading_level": (regex_levels, W + " SELECT book, page_num, CAST(line_idx AS INTEGER) AS line_idx, CASE line_idx % 8 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 1 WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 0 END AS level FROM spans"),
     "win_folio_sequence": (folio, FOLIO_SQL),
     "seq_toc_entries": (toc, TOC_SQL),
     "join_font_lookup": (font_lookup, FONT_SQL),
