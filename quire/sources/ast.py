@@ -23,4 +23,4 @@ def write_markdown(sections: DataFrame, path: str) -> None:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(book, text): files as wholes."""
-    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "text")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
