@@ -231,7 +231,9 @@ def brute_lines(texts):
         return re.sub(r"[\W_]+", " ", x.lower()).strip()
 
     def sim(x):
-        h = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in x.split(" ")]
+        w = x.split(" ")
+        one = lambda t, seed: xxhash.xxh64_intdigest(t.encode(), seed=seed)
+        h = [one(b, one(a, 42)) for a, b in zip(w, w[1:])] or [one(x, 42)]  # a hash of two columns seeds the second with the first's
         return sum(1 << b for b in range(63) if 2 * sum(v >> b & 1 for v in h) > len(h))
 
     def distance(a, b):
@@ -267,7 +269,7 @@ def test_line_dedup(spark):
     r = random.Random(5)
     pool = []
     for _ in range(25):
-        base = " ".join(f"word{r.randrange(500)}" for _ in range(r.choice([1, 4, 30, 90])))
+        base = " ".join(f"word{r.randrange(500)}" for _ in range(r.choice([1, 4, 150, 150])))
         pool += [base, base.upper() + "!"] + [base.replace(base[k : k + 1], "q", 1) if False else base[:k] + "x" + base[k + 1 :] for k in r.sample(range(len(base)), 3)]
     texts = ["\n".join(r.choice(pool + ["", "---"]) for _ in range(r.randrange(1, 8))) for _ in range(50)]
     want, links = brute_lines(texts)
