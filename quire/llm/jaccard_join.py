@@ -20,7 +20,8 @@ groups cost a chain of links instead of all pairs.
 
 Defined results: a null text is empty; a text without words has an empty set and
 links with nothing; rows are judged by their own text, also when they repeat a
-doc_id; a null doc_id links as any other but is never a component's smallest;
+doc_id; a row without a doc_id is in the component of rows with a doc_id whose
+set equals its own, else it links with nothing and its component_id is null;
 extra columns are ignored.
 """
 
