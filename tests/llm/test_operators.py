@@ -278,6 +278,40 @@ def test_line_dedup(spark):
     assert all(got[i].n_lines_in == t.count("\n") + 1 for i, t in enumerate(texts))
 
 
+@pytest.mark.parametrize("n_words", [10, 30, 60, 90])
+def test_line_dedup_recall(spark, n_words):
+    """Of lines with edit similarity of 0.8 or more, with words replaced, inserted, left out or misspelt, nine tenths go; no others do."""
+    from quire.llm.line_dedup import dedup_lines
+
+    def similarity(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return 1 - row[-1] / max(len(a), len(b))
+
+    r = random.Random(n_words)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(1, 11))) for _ in range(3000)]
+    weights = [1 / (i + 1) for i in range(3000)]
+    firsts, seconds = [], []
+    for k in range(80):
+        a = r.choices(vocabulary, weights, k=n_words)
+        b = list(a)
+        for _ in range(r.randrange(1, max(2, n_words // 5) + 1)):
+            i = r.randrange(len(b))
+            word = r.choice(vocabulary)
+            b[i : i + 1] = r.choice([[word], [word], [b[i], word], [], [b[i][:-1] + "Q"]])
+        firsts.append(" ".join(a))
+        seconds.append(" ".join(b))
+    got = {x.doc_id: x.text for x in dedup_lines(spark, docs_of(spark, firsts + seconds), minhash=True).collect()}
+    similar = [similarity(a.lower(), b.lower()) >= 0.8 for a, b in zip(firsts, seconds)]
+    gone = [got[80 + i] == "" for i in range(80)]
+    assert all(got[i] == firsts[i] for i in range(80))
+    assert sum(similar) > 40 and sum(s and g for s, g in zip(similar, gone)) >= 0.9 * sum(similar)
+    assert not any(g and not s for s, g in zip(similar, gone))
+
+
 def test_line_dedup_odd(spark):
     from quire.llm.line_dedup import dedup_lines
 
