@@ -223,6 +223,12 @@ def containment(spark, d):
     return J.contained(b, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
+def containment_whole(spark, d):
+    """Documents with a whole benchmark item."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return J.contained(b, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
 CONTAINMENT_SQL = r"""
 WITH b AS (SELECT item_id, trim(regexp_replace(regexp_replace(substr(text, 1, 60), '\s\S*$', ''), '\s+', ' ', 'g')) AS s FROM benchmark), d AS (SELECT doc_id, ' ' || trim(regexp_replace(text, '\s+', ' ', 'g')) || ' ' AS t FROM documents)
 SELECT item_id AS small_id, doc_id AS large_id FROM b, d WHERE s <> '' AND contains(t, ' ' || s || ' ')"""
@@ -374,6 +380,7 @@ QUERIES = {
     "join_reviews": (reviews, REVIEWS_SQL),
     "join_footnotes": (footnotes, FOOTNOTE_SQL),
     "join_containment": (containment, CONTAINMENT_SQL),
+    "join_containment_whole": (containment_whole, None),
     "snk_font_map_merge": (font_map, FONTMAP_SQL),
     "seq_sections": (sectioned, SECT + " SELECT page_id, CAST(pos AS INTEGER) AS pos, sec, para, printf('sec_%03d', sec) AS section_id, printf('sec_%03d_p%03d', sec, para) AS para_id, level FROM p"),
     "snk_section_markdown": (markdown, SECT + " SELECT page_id, sec, sha256(c) AS digest, length(c) AS n_chars FROM (SELECT page_id, sec, string_agg(text, chr(10) || chr(10) ORDER BY para) AS c FROM p GROUP BY page_id, sec)"),

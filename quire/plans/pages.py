@@ -36,6 +36,11 @@ def markers(spark, d):
     return D.detect_markers(t, "doc_id").filter("start < 18").select("doc_id", "marker", "number", "start", "end", "family")
 
 
+def markers_whole(spark, d):
+    """Markers of documents' whole texts."""
+    return D.detect_markers(table(spark, d, "documents"), "doc_id")
+
+
 MARKERS_SQL = """SELECT doc_id, m.marker, CAST(m.number AS BIGINT) AS number, CAST(m.s AS INTEGER) AS start, CAST(m.e AS INTEGER) AS "end", m.family FROM documents,
 (VALUES ('①', 1, 1, 2, 'circled_number'), ('¹²', 12, 3, 5, 'superscript'), ('[3]', 3, 5, 8, 'square_bracket'), ('〔14〕', 14, 9, 13, 'chinese_bracket'), ('a', 1, 14, 15, 'alpha_callout')) AS m(marker, number, s, e, family)"""
 
@@ -65,6 +70,7 @@ QUERIES = {
     "seq_boundary_evidence": (paragraph_breaks, BREAKS_SQL),
     "seq_paragraphs": (paragraphs, None),
     "scl_detect_markers": (markers, MARKERS_SQL),
+    "scl_detect_markers_whole": (markers_whole, None),
     "win_conservation_diff": (conservation, CONSERVATION_SQL),
     "win_pivot_grid": (grid, None),
 }

@@ -56,6 +56,12 @@ def suspicious(spark, d):
     return chars.select(*LINE, "pos", "ch", "kind", F.expr("substring(t, greatest(1, pos - 4), 10)").alias("context"))
 
 
+def suspicious_whole(spark, d):
+    """Rare glyphs by class in whole lines, with 15 characters of context on either side."""
+    chars = spans(spark, d).select(*LINE, "text", F.posexplode(F.split("text", "")).alias("pos", "ch")).withColumn("kind", T.suspicious_class(F.ascii("ch"))).filter("kind is not null")
+    return chars.select(*LINE, "pos", "ch", "kind", F.expr("substring(text, greatest(1, pos - 14), pos + 16 - greatest(0, pos - 15))").alias("context"))
+
+
 def rare_report(spark, d):
     return suspicious(spark, d).groupBy("kind", "ch").agg(F.count("*").alias("n"), F.countDistinct("book", "page_num").alias("n_pages"))
 
@@ -122,6 +128,10 @@ def few_chars(spark, d):
     return table(spark, d, "documents").select("doc_id", T.few_distinct(F.substring("text", 1, 200)).alias("v"))
 
 
+def few_chars_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.few_distinct(F.col("text")).alias("v"))
+
+
 def circled(spark, d):
     return seeded(spark, d).select(*LINE, T.circled_number((F.col("page_num") % 60).cast("int")).alias("v"))
 
@@ -138,6 +148,7 @@ QUERIES = {
     "flt_continuing_punctuation": (_line(lambda: T.continuing_punctuation(t())), _sql(rf"regexp_matches({STRIP.format('t')}, '[，、：:,]$')")),
     "flt_hallucination": (hallucinations, None),
     "flt_few_distinct_characters": (few_chars, "SELECT doc_id, length(x) > 15 AND len(list_distinct(string_split(x, ''))) / length(x) < 0.15 AS v FROM (SELECT doc_id, substr(text, 1, 200) AS x FROM documents)"),
+    "flt_few_distinct_characters_whole": (few_chars_whole, None),
     "flt_non_prose_item": (_line(lambda: T.non_prose(t(), F.when(F.col("line_idx") % 13 == 0, "Figure").otherwise("text"))), _sql("length(t) = 0 OR line_idx % 13 = 0 OR starts_with(t, '#') OR starts_with(t, '![') OR starts_with(t, '>') OR starts_with(t, '|') OR starts_with(t, '[^')")),
     "scl_layout_label": (_line(lambda: T.layout_label(F.element_at(F.array(*map(F.lit, (" PageFooter", "list-item", "Section-Header ", "", "Table"))), (F.col("line_idx") % 5 + 1).cast("int")))), _sql("CASE line_idx % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'text' WHEN 2 THEN 'section-header' WHEN 3 THEN 'text' ELSE 'table' END")),
     "scl_marker_type": (_line(lambda: T.marker_type(s())), _sql("CASE line_idx % 20 WHEN 0 THEN 'empty' WHEN 2 THEN 'circled' WHEN 3 THEN 'paren' WHEN 5 THEN 'bracket' WHEN 9 THEN 'superscript' WHEN 10 THEN 'alpha' WHEN 16 THEN 'zhu' ELSE 'dot' END")),
@@ -157,6 +168,7 @@ QUERIES = {
     "scl_image_width": (_line(lambda: T.sized_images(F.concat(F.lit("![__p__](a.png) "), F.substring("text", 1, 10), F.lit(" ![b](c.png){width=1}")))), _sql("'![](a.png){width=60%} ' || substr(text, 1, 10) || ' ![b](c.png){width=1}'")),
     "scl_payload_extract": (payload, "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS missing FROM events"),
     "scl_suspicious_chars": (suspicious, SUSPICIOUS_SQL),
+    "scl_suspicious_chars_whole": (suspicious_whole, None),
     "snk_rare_char_report": (rare_report, f"SELECT kind, ch, count(*) AS n, count(DISTINCT (book, page_num)) AS n_pages FROM ({SUSPICIOUS_SQL}) GROUP BY kind, ch"),
     "src_char_boxes": (char_boxes, W + ", c AS (SELECT *, unnest(range(0, length(text))) AS pos FROM spans WHERE line_idx = 0) SELECT book, page_num, CAST(pos AS INTEGER) AS pos, substr(text, pos + 1, 1) AS ch, x0 + (x1 - x0) / length(text) * pos AS cx0, x0 + (x1 - x0) / length(text) * (pos + 1) AS cx1 FROM c"),
     "agg_dictionary_corrections": (corrections, W + " SELECT book, page_num, CAST(line_idx AS INTEGER) AS line_idx, replace(replace(replace(text, 'the', 'teh'), 'teh ', 'the '), 'ing', 'in') AS fixed, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS INTEGER) AS n_first FROM spans"),
