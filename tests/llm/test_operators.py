@@ -494,6 +494,44 @@ def test_edf_is_pfair(seed):
             assert abs(done - (t + 1) * a / m) < 1
 
 
+def test_mixing_keeps_exact_weights():
+    """Less than one block from the requested weights after many thousands of slots, also once sources run out."""
+    from fractions import Fraction
+
+    from quire.llm.mixing import plan
+
+    weights = {"a": 0.1237, "b": 1 / 3, "c": 2.0**0.5, "d": 7.77e-5, "zero": 0.0}
+    blocks = {"a": 3000, "b": 6000, "c": 25000, "d": 5, "zero": 9}
+    slots = plan(blocks, weights)
+    n = sum(blocks.values())
+    assert sorted(t for x in slots.values() for t in x) == list(range(n)) and list(slots["zero"]) == list(range(n - 9, n))
+    owner = {t: s for s, x in slots.items() for t in x}
+    done, ideal, left = dict.fromkeys(blocks, 0), dict.fromkeys(blocks, 0.0), {s for s in blocks if s != "zero"}
+    for t in range(n - 9):
+        done[owner[t]] += 1
+        rest = 1.0  # of this slot; sources leave the ideal in its midst
+        while left and rest > 1e-12:
+            whole = sum(weights[s] for s in left)
+            step = min(rest, *((blocks[s] - ideal[s]) * whole / weights[s] for s in left))
+            for s in left:
+                ideal[s] += step * weights[s] / whole
+            rest -= step
+            left = {s for s in left if blocks[s] - ideal[s] > 1e-7}
+        assert all(abs(done[s] - ideal[s]) < 1 + 1e-6 for s in blocks)
+    many = {"big": 50.0} | {f"s{i}": 1.0 for i in range(4999)}
+    slots = plan({s: 60 if s == "big" else 1 for s in many}, many)
+    assert sum(t < 5049 for t in slots["big"]) in (49, 50, 51)
+    assert all(abs(sum(t < x for t in slots["big"]) - Fraction(50 * x, 5049)) < 1 for x in range(1, 5000, 7))
+
+
+def test_mixing_many_sources(spark):
+    from quire.llm.mixing import mix
+
+    rows = spark.range(20_500).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source"))
+    got = mix(spark, rows)
+    assert got.agg(F.count("*"), F.countDistinct("mix_slot"), F.max("mix_slot")).first() == (20_500, 20_500, 20_499)
+
+
 def test_mixing(spark):
     from quire.llm.mixing import mix
 
