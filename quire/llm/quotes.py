@@ -1,8 +1,10 @@
 """Quotation linking: conversations in reply order, without quotes.
 
 Lines that begin with quote marks (">") have the number of marks as level; runs
-of lines of one level above 0 are quoted passages. Passages and their lines are
-normalised and hashed, and looked up among what other messages say themselves:
+of lines of one level above 0 are quoted passages. Passages, their lines and their
+sentences (over line breaks) are normalised and looked up among what other messages
+say themselves: a message says its text, lines and sentences, and of RUN words or more
+also any run of its words, wherever lines break. Of those that say it, it is
 first the latest earlier message of the same conversation, else the first of all
 messages that said it. A passage belongs to the message that most of its
 characters point to; the first passage of level 1 that was found makes the reply.
@@ -11,7 +13,7 @@ place: thread (the conversation of the message the chain of replies starts with)
 depth in that chain and number in the thread.
 
 Defined results: a null text has an empty text of its own; quotes that nobody
-said link to nothing; a message never replies to itself or to a later one, so
+said link to nothing; of fewer than RUN words a quote must be a whole text, line or sentence; a message never replies to itself or to a later one, so
 there are no cycles; of rows that repeat conv_id and turn each is placed, and a
 reply goes to the pair; null conv_ids or turns sort first and are never replied
 to; extra columns are ignored.
@@ -26,6 +28,8 @@ from .staging import Stage
 #: Turns in one part of a thread, for numbering without gathering a thread.
 SPAN = 256
 MAX_ROUNDS = 64
+#: Words of a quote that are looked for anywhere in a message.
+RUN = 5
 
 _MARKS = r"^(?:[ \t]*>)+[ \t]?"
 #: Lines that introduce a quote.
@@ -64,19 +68,38 @@ def parse(messages: DataFrame) -> DataFrame:
 
 
 def _units(text: Column) -> Column:
-    """(hash, characters) of the whole normalised text and of each of its lines."""
-    pieces = F.concat(F.array(text), F.split(text, "\n"))
-    units = F.transform(pieces, lambda x: F.struct(F.xxhash64(_normal(x)).alias("h"), F.length(_normal(x)).alias("n")))
-    return F.array_distinct(F.filter(units, lambda u: u["n"] > 0))
+    """The whole normalised text, each of its lines and each of its sentences."""
+    sentences = F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?…])[\"'”’»)]* |(?<=[。！？])")
+    pieces = F.transform(F.concat(F.array(text), F.split(text, "\n"), sentences), _normal)
+    return F.array_distinct(F.filter(pieces, lambda x: x != ""))
 
 
-def link_passages(parsed: DataFrame) -> DataFrame:
+def _run(words: Column, i: Column | int) -> Column:
+    return F.xxhash64(*(F.get(words, F.lit(i) + k if isinstance(i, int) else i + k) for k in range(RUN)))
+
+
+def _containing(parsed: DataFrame, quoted: DataFrame) -> DataFrame:
+    """conv_id, turn, h: messages that say a quoted unit (columns h, unit) of RUN words or more as a run of their words."""
+    units = quoted.select("h", "unit").distinct().select("h", "unit", F.split("unit", " ").alias("w")).filter(F.size("w") >= RUN)
+    units = units.select("h", "unit", _run(F.col("w"), 0).alias("run"))
+    own = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", _normal(F.col("own")).alias("norm"))
+    words = own.select("conv_id", "turn", F.split("norm", " ").alias("w")).filter(F.size("w") >= RUN)
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - RUN), lambda i: _run(F.col("w"), i)))
+    runs = words.select("conv_id", "turn", F.explode(runs).alias("run")).join(units.select("run").distinct(), "run", "left_semi")
+    # Runs travel without texts; those come to the few that meet.
+    met = runs.join(units, "run").join(own, ["conv_id", "turn"])
+    spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return met.filter(F.contains(spaced("norm"), spaced("unit"))).select("conv_id", "turn", "h")
+
+
+def link_passages(parsed: DataFrame, stage: Stage) -> DataFrame:
     """Per passage that was found: conv_id, turn, passage (its number), level, from_conv, from_turn."""
-    said = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(_units(F.col("own"))).alias("u")).select("conv_id", "turn", "u.h").distinct()
+    said = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(_units(F.col("own"))).alias("unit")).select("conv_id", "turn", F.xxhash64("unit").alias("h"))
     quoted = parsed.select("conv_id", "turn", F.posexplode("passages").alias("passage", "p"))
-    quoted = quoted.select("conv_id", "turn", "passage", F.col("p.level").alias("level"), F.explode(_units(F.col("p.text"))).alias("u")).select("*", "u.h", "u.n").drop("u")
+    quoted = quoted.select("conv_id", "turn", "passage", F.col("p.level").alias("level"), F.explode(_units(F.col("p.text"))).alias("unit"))
+    quoted = quoted.withColumns({"h": F.xxhash64("unit"), "n": F.length("unit")})
     hashes = quoted.select("h").distinct()
-    said = said.join(hashes, "h", "left_semi")
+    said = stage.write(said.join(hashes, "h", "left_semi").select("conv_id", "turn", "h").unionByName(_containing(parsed, quoted)).distinct(), "said")
     # The latest earlier message of the conversation that said it: one pass over both, by turn.
     both = said.select("conv_id", "h", "turn", F.lit(None).cast("int").alias("passage"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("n")).unionByName(
         quoted.select("conv_id", "h", "turn", "passage", "level", "n")
@@ -115,7 +138,7 @@ def conversations(spark: SparkSession, messages: DataFrame) -> DataFrame:
     """Per message: thread, number (from 0, in the thread), conv_id, turn, role, text, n_quotes, reply_to_conv, reply_to_turn, depth."""
     stage = Stage(spark, "quotes")
     parsed = stage.write(parse(messages), "parsed")
-    links = link_passages(parsed).filter("level = 1")
+    links = link_passages(parsed, stage).filter("level = 1")
     replies = links.groupBy("conv_id", "turn").agg(F.min_by(F.struct(F.col("from_conv").alias("c"), F.col("from_turn").alias("t")), "passage").alias("to"))
     replies = stage.write(replies.select("conv_id", "turn", F.col("to.c").alias("to_conv"), F.col("to.t").alias("to_turn")), "replies")
     roots = _roots(replies, stage)

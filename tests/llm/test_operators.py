@@ -476,6 +476,33 @@ def test_quotes(spark):
     assert conversations(spark, df.limit(0)).count() == 0
 
 
+def test_partial_and_rewrapped_quotes(spark):
+    from quire.llm.quotes import conversations
+
+    one = "The harbour opens at six. Bring the blue folder with you, and ask for Ann at the desk. Yes, please."
+    two = "We counted the crates twice last night\nand found that three of them were missing\nso the lorry has to wait until noon."
+    rows = [
+        (1, 0, "user", one),
+        (1, 1, "assistant", two),
+        (1, 2, "user", "> Bring the blue folder with you,\n> and ask for Ann at the desk.\nI will."),
+        (1, 3, "user", "> found that three of\n> them were missing so the lorry\nWhich ones?"),
+        (1, 4, "user", "> Yes, please.\nGood."),
+        (1, 5, "user", "> the blue\nToo short to tell."),
+        (2, 0, "user", "> the crates twice last night and found\nReally?"),
+        (2, 1, "user", "> the crates twice last week and found\nNobody wrote that."),
+        (3, 0, "user", "Elsewhere they ask for Ann at the desk."),
+        (3, 1, "user", "> and ask for Ann at the desk\nStill she."),
+        (3, 2, "user", "> ask for Ann at the desk\nShe again."),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    to = {(x.conv_id, x.turn): (x.reply_to_conv, x.reply_to_turn) for x in conversations(spark, df).collect()}
+    none = (None, None)
+    assert to == {
+        (1, 0): none, (1, 1): none, (1, 2): (1, 0), (1, 3): (1, 1), (1, 4): (1, 0), (1, 5): none,
+        (2, 0): (1, 1), (2, 1): none, (3, 0): none, (3, 1): (1, 0), (3, 2): (3, 0),
+    }
+
+
 # ------------------------------------------------------------------ 9 mixing
 
 
