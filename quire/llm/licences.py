@@ -8,6 +8,11 @@ as many as the smaller side has, Dice >= t bounds the segment's size to
 join on the segment's size; segments that no template can match are left out
 before any bigram is made. Each segment goes to its best template.
 
+With windows=True (op10_licences) licences that no segment of a document has are
+also looked for in windows of its words, over paragraphs and within lines: from
+one of the template's bigrams to another, with the same Dice
+threshold; of windows that overlap the better one counts.
+
 Defined results: null and empty texts match nothing; ties between templates go
 to the licence first in the alphabet; rows that repeat a doc_id are taken
 together; a null doc_id is a document of its own; extra columns are ignored.
@@ -123,14 +128,56 @@ def segments(docs: DataFrame, low: int, high: int) -> DataFrame:
     return words.filter(fits).select("doc_id", "segment", _bigrams(F.col("w")).alias("bigrams"))
 
 
-def scan_licences(spark: SparkSession, docs: DataFrame, known: list[tuple[str, str]] | None = None, num: int = NUM, den: int = DEN) -> DataFrame:
-    """Per document and licence found: doc_id, licence, dice (best), n_segments."""
+def _windows(docs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
+    """doc_id, licence, dice: of the best window of each document (doc_id, text) and licence; table: licence, template (bigrams)."""
+    m = F.size("template")
+    table = table.filter(m > 0).withColumns({"m": m, "t": F.xxhash64("licence", "template"), "least": F.ceil(m * num / (2 * den - num)).cast("int"), "most": F.floor(m * (2 * den - num) / num).cast("int")})
+    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ")
+    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("key"), words.alias("w"))
+    grams = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.xxhash64(a, b))
+    rows = rows.filter(F.size("w") > 1).select("doc_id", "key", grams.alias("g"))
+    # All templates' bigrams are a few thousand rows.
+    of = table.select("t", "least", "most", F.explode("template").alias("h"))
+    hits = rows.select("doc_id", "key", F.posexplode("g").alias("pos", "h")).join(F.broadcast(of), "h")
+    places = hits.groupBy("doc_id", "key", "t", "least", "most").agg(F.array_sort(F.collect_set("pos")).alias("p"))
+    # A window has `least` of the template's bigrams at least, all different, and at most `most` in all.
+    near = places.filter(F.size("p") >= F.col("least"))
+    near = near.select("doc_id", "key", "t", "most", "least", "p", F.explode(F.sequence(F.lit(0), F.size("p") - F.col("least"))).alias("i"))
+    ends = F.slice("p", F.col("i") + F.col("least"), F.size("p"))
+    start = F.get("p", F.col("i"))
+    # Bigrams that a window repeats count once: twice the places are looked at.
+    ends = near.select("doc_id", "key", "t", start.alias("a"), F.explode(F.filter(ends, lambda x: x - start < 2 * F.col("most"))).alias("b"))
+    # The texts of the few documents that have such places, by a broadcast of their names (16 bytes each): texts aren't shuffled.
+    ids = ends.select(F.col("doc_id").alias("i"), F.col("key").alias("j")).distinct()
+    few = rows.join(F.broadcast(ids), rows.doc_id.eqNullSafe(ids.i) & (rows.key == ids.j), "left_semi")
+    whole = few.dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "g")
+    met = ends.join(whole, ends.doc_id.eqNullSafe(whole.id) & (ends.key == whole.k)).join(F.broadcast(table.select("t", "licence", "template", "m")), "t")
+    window = F.array_distinct(F.slice("g", F.col("a") + 1, F.col("b") - F.col("a") + 1))
+    scored = met.select("doc_id", "key", "a", "b", "licence", "template", "m", window.alias("x")).select(
+        "doc_id", "key", "a", "b", "licence", F.size(F.array_intersect("x", "template")).alias("c"), (F.size("x") + F.col("m")).alias("total")
+    )
+    found = scored.filter(F.col("c") * 2 * den >= F.col("total") * num)
+    dice = F.col("c") * 2 / F.col("total")
+    # The best window of each start; of windows that overlap, those that have no better one.
+    found = found.groupBy("doc_id", "key", "licence", "a").agg(F.max(F.struct(dice.alias("dice"), "b")).alias("best"))
+    found = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "best.b", "best.dice", "licence")).alias("ws"))
+
+    def worse(x: Column, y: Column) -> Column:
+        return (y["a"] <= x["b"]) & (x["a"] <= y["b"]) & ((y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & (y["licence"] < x["licence"])))
+
+    kept = found.select("doc_id", F.explode(F.filter("ws", lambda x: ~F.exists("ws", lambda y: worse(x, y)))).alias("x"))
+    return kept.groupBy("doc_id", F.col("x.licence").alias("licence")).agg(F.max("x.dice").alias("dice"))
+
+
+def scan_licences(spark: SparkSession, docs: DataFrame, known: list[tuple[str, str]] | None = None, num: int = NUM, den: int = DEN, windows: bool = False) -> DataFrame:
+    """Per document and licence found: doc_id, licence, dice (best), n_segments (1 for a licence found in a window only)."""
     known = templates() if known is None else known
     sizes = [_bounds(max(len(set(zip(w, w[1:]))), 1), num, den) for w in (t.split() for _, t in known)]
     quoted = ", ".join("('{}', '{}')".format(*(x.replace("'", "") for x in row)) for row in known)
     table = spark.sql(f"SELECT * FROM VALUES {quoted} AS t(licence, words)").select("licence", _bigrams(F.split("words", " ")).alias("template"))
     m = F.size("template")
     span = F.sequence(F.floor((F.lit(num) * m + (2 * den - num - 1)) / (2 * den - num)).cast("int"), F.floor(m * (2 * den - num) / num).cast("int"))
+    every = table
     table = table.filter(m > 0).select("licence", "template", F.explode(span).alias("n"))
     found = segments(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), min(a for a, _ in sizes), max(b for _, b in sizes))
     # The templates are constants of this module (or an argument): a few thousand rows to broadcast.
@@ -139,11 +186,19 @@ def scan_licences(spark: SparkSession, docs: DataFrame, known: list[tuple[str, s
     pairs = pairs.select("doc_id", "segment", "licence", common.alias("c"), (F.col("n") + m).alias("total")).filter(F.col("c") * 2 * den >= F.col("total") * num)
     dice = F.col("c") * 2 / F.col("total")
     best = pairs.groupBy("doc_id", "segment").agg(F.min(F.struct((-dice).alias("d"), F.col("licence"))).alias("best"))
-    return best.groupBy("doc_id", F.col("best.licence").alias("licence")).agg(F.max(-F.col("best.d")).alias("dice"), F.count("*").alias("n_segments"))
+    out = best.groupBy("doc_id", F.col("best.licence").alias("licence")).agg(F.max(-F.col("best.d")).alias("dice"), F.count("*").alias("n_segments"))
+    if not windows:
+        return out
+    more = _windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), every, num, den)
+    both = out.unionByName(more.withColumn("n_segments", F.lit(None).cast("long")))
+    # What segments found stays as it is.
+    seen = F.max("n_segments").alias("n")
+    dice = F.coalesce(F.max(F.when(F.col("n_segments").isNotNull(), F.col("dice"))), F.max("dice")).alias("dice")
+    return both.groupBy("doc_id", "licence").agg(dice, seen).select("doc_id", "licence", "dice", F.coalesce("n", F.lit(1).cast("long")).alias("n_segments"))
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licences(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan_licences(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), windows=True)
 
 
 def _sql() -> str:

@@ -594,6 +594,27 @@ def test_licences(spark):
     assert scan_licences(spark, odd_docs(spark)).count() == 0 and scan_licences(spark, empty_docs(spark)).count() == 0
 
 
+def test_licences_in_windows(spark):
+    """A licence over several paragraphs inside a longer document, and a notice within a line."""
+    from quire.llm.licences import TEXTS, scan_licences
+
+    r = random.Random(4)
+    prose = lambda n: " ".join(r.choice("tree house of the and in a river stone".split()) for _ in range(n))
+    split = TEXTS["MIT"].replace("conditions: The", "conditions:\n\nThe").replace("THE SOFTWARE IS PROVIDED", "\n\nTHE SOFTWARE IS PROVIDED")
+    assert split.count("\n\n") == 2
+    texts = [
+        prose(400) + "\n\n" + split + "\n\n" + prose(300),
+        prose(40) + " This project is licensed under the Zlib License and " + prose(40),
+        prose(600),
+        None,
+    ]
+    docs = docs_of(spark, [t or "" for t in texts])
+    assert scan_licences(spark, docs).count() == 0
+    got = {(x.doc_id, x.licence): (x.dice, x.n_segments) for x in scan_licences(spark, docs, windows=True).collect()}
+    assert set(got) == {(0, "MIT"), (1, "Zlib")} and got[0, "MIT"] == got[1, "Zlib"] == (1.0, 1)
+    assert scan_licences(spark, odd_docs(spark), windows=True).count() == 0 and scan_licences(spark, empty_docs(spark), windows=True).count() == 0
+
+
 def test_licences_brute_force(spark):
     from quire.llm.licences import scan_licences
 
