@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .bm25 import op6_bm25
+from .bm25 import OP6_SQL, op6_bm25
 from .decontam import OP2_SQL, op2_decontaminate
 from .html_crf import op3_html_text
 from .jaccard_join import OP7_SQL, op7_jaccard_join
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_licences": op10_licences,
 }
-ORACLE_SQL = {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op7_jaccard_join": OP7_SQL, "op10_licences": OP10_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op2_decontaminate": OP2_SQL, "op6_bm25": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op10_licences": OP10_SQL}

@@ -8,9 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch handed to a Python worker. Texts may be long, so the
-#: default of 10,000 rows could be gigabytes.
-ARROW_ROWS = 512
+#: Rows and bytes in one Arrow batch handed to a Python worker. Texts may be long,
+#: so the default of 10,000 rows could be gigabytes.
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -18,6 +18,7 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 def prepare(spark: SparkSession) -> SparkSession:
     """Set what the Python stages need: small Arrow batches, the package on the workers' path."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     env = spark.sparkContext.environment
     if _ROOT not in (env.get("PYTHONPATH") or "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH")) if x)
@@ -50,9 +51,9 @@ class Stage:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, **options) -> DataFrame:
         at = self.path(name)
-        df.write.parquet(at)
+        df.write.options(**options).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._quire_path = at
         return out

@@ -385,6 +385,40 @@ def test_bm25_odd(spark):
     assert top_k(spark, empty_docs(spark), empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("shard_docs,query_block,batch,block", [(1000, 1000, 64, 16), (23, 11, 4, 2), (1, 3, 64, 16)])
+def test_bm25_repeats(spark, monkeypatch, shard_docs, query_block, batch, block):
+    """Repeated and null ids, copies of texts and repeated rows give brute force's rows for any shards, passes and blocks."""
+    from quire.llm import bm25
+
+    monkeypatch.setattr(bm25, "BATCH", batch)
+    monkeypatch.setattr(bm25, "BLOCK", block)
+    r = random.Random(shard_docs)
+    pool = [" ".join(r.choices([f"t{i}" for i in range(200)], [1 / (i + 1) for i in range(200)], k=r.choice([1, 3, 30, 90]))) for _ in range(50)]
+    rows = [(r.choice([None, *range(0, 60, 3)]), r.choice([None, "", *pool])) for _ in range(120)]
+    rows += [(1, "apple pear plum"), (1, "apple pear fig"), (2, "apple"), (2, "apple")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = [x for x in rows if x[0] is None or x[0] % 4 < 2]
+    tf = [Counter((t or "").split()) for _, t in rows]
+    df = Counter(w for c in tf for w in c)
+    mean = sum(sum(c.values()) for c in tf) / len(tf)
+    want = Counter()
+    for i, (q, text) in enumerate(rows):
+        if (q, text) not in asked:
+            continue
+        found = []
+        for d, other in enumerate(rows):
+            if (q, text or "") == (other[0], other[1] or ""):
+                continue
+            s = sum(np.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * tf[d][w] * (bm25.K1 + 1) / (tf[d][w] + bm25.K1 * (1 - bm25.B + bm25.B * sum(tf[d].values()) / mean)) for w in tf[i] if w in tf[d])
+            if s > 0:
+                found.append((-round(round(float(s), 9), 7), other[0] is None, other[0] or 0))
+        for rank, (s, null, d) in enumerate(sorted(found)[:6], 1):
+            want[q, rank, None if null else d, -s] += 1
+    queries = docs.filter("doc_id is null or doc_id % 4 < 2")
+    got = Counter((x["query"], x["rank"], x.doc_id, round(x.score, 7)) for x in bm25.top_k(spark, docs, queries, 6, shard_docs, query_block).collect())
+    assert got == want
+
+
 # ------------------------------------------------------------------ 7 Jaccard join
 
 
