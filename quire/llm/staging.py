@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: so the default of 10,000 rows could be gigabytes.
 ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -53,7 +54,13 @@ class Stage:
 
     def write(self, df: DataFrame, name: str, **options) -> DataFrame:
         at = self.path(name)
-        df.write.options(**options).parquet(at)
+        # The table replaces the shuffles that made it: their files go at once.
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.options(**options).parquet(at)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._quire_path = at
         return out
