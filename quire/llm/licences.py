@@ -8,22 +8,36 @@ as many as the smaller side has, Dice >= t bounds the segment's size to
 join on the segment's size; segments that no template can match are left out
 before any bigram is made. Each segment goes to its best template.
 
+The bounds prune templates for a whole document first: a part of it that matches
+a template has at least t / (2 - t) of the template's bigrams. One pass over the
+words keeps the documents that have so many of some template's; only those are
+cut into segments.
+
 With windows=True (op10_licences) licences that no segment of a document has are
-also looked for in windows of its words, over paragraphs and within lines: from
-one of the template's bigrams to another, with the same Dice
-threshold; of windows that overlap the better one counts.
+also looked for in windows of its words, over paragraphs and within lines. Each
+bigram of a template counts for a window and each other one against it, so that
+the sum tells whether the window can reach the threshold; along the text, the
+highest sums of each run of hits give its windows, whose Dice coefficient is then
+taken exactly. A run ends where no window could go on: at a gap, or a length, that
+the threshold forbids. Of windows that overlap the better one counts. Windows whose
+licence has other bigrams many times over may be missed.
 
-Defined results: null and empty texts match nothing; ties between templates go
-to the licence first in the alphabet; rows that repeat a doc_id are taken
-together; a null doc_id is a document of its own; extra columns are ignored.
+Defined results: null and empty texts match nothing; without templates of two words
+or more nothing is found; ties between templates go to the licence first in the
+alphabet; rows that repeat both doc_id and text count once; rows that repeat a
+doc_id only are scanned each, and their segments added up; of rows without a doc_id
+each text is a document of its own; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .staging import Stage
+
 #: Dice coefficient that counts as a match, as NUM / DEN.
 NUM, DEN = 80, 100
 
@@ -87,6 +101,71 @@ should have received a copy of the GNU General Public License along with this pr
 https://www.gnu.org/licenses/""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
 was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS
+SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither
+the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this
+software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN
+IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use
+this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may
+not be removed or altered from any source distribution.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit
+the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license
+grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all
+derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code
+generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN
+NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This
+program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received
+a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin
+Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "LGPL-3.0": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You
+should have received a copy of the GNU Lesser General Public License along with this library. If not, see
+https://www.gnu.org/licenses/""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later
+version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You
+should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You
+should have received a copy of the GNU Affero General Public License along with this program. If not, see
+https://www.gnu.org/licenses/""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
 publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
 commercial or non-commercial, and by any means.""",
@@ -112,7 +191,7 @@ def _bigrams(words: Column) -> Column:
 
 
 def segments(docs: DataFrame, low: int, high: int) -> DataFrame:
-    """doc_id, segment (its number), bigrams: of all segments that may have between low and high distinct bigrams.
+    """doc_id, key, segment (its number), bigrams: of all segments that may have between low and high distinct bigrams.
 
     A segment of w words, d of them distinct, has at most w - 1 and at least d - 1 distinct bigrams.
     """
@@ -122,79 +201,140 @@ def segments(docs: DataFrame, low: int, high: int) -> DataFrame:
     whole = F.when(several, F.array("t")).otherwise(F.array().cast("array<string>"))
     paragraphs = F.filter(F.split("t", r"\n(?: *\n)+"), lambda x: F.contains(F.trim(F.lit("\n"), x), F.lit("\n")))
     some = F.when(F.rlike("t", F.lit(r"\n *\n")), paragraphs).otherwise(F.array().cast("array<string>"))
-    rows = docs.select("doc_id", text.alias("t")).filter("t is not null").select("doc_id", F.posexplode(F.concat(lines, some, whole)).alias("segment", "s"))
-    words = rows.select("doc_id", "segment", F.split(F.trim(F.regexp_replace("s", r"[ \n]+", " ")), " ").alias("w"))
+    rows = docs.select("doc_id", "key", text.alias("t")).filter("t is not null").select("doc_id", "key", F.posexplode(F.concat(lines, some, whole)).alias("segment", "s"))
+    words = rows.select("doc_id", "key", "segment", F.split(F.trim(F.regexp_replace("s", r"[ \n]+", " ")), " ").alias("w"))
     fits = (F.size("w") > low) & (F.size(F.array_distinct("w")) - 1 <= high)
-    return words.filter(fits).select("doc_id", "segment", _bigrams(F.col("w")).alias("bigrams"))
-
-
-def _windows(docs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
-    """doc_id, licence, dice: of the best window of each document (doc_id, text) and licence; table: licence, template (bigrams)."""
-    m = F.size("template")
-    table = table.filter(m > 0).withColumns({"m": m, "t": F.xxhash64("licence", "template"), "least": F.ceil(m * num / (2 * den - num)).cast("int"), "most": F.floor(m * (2 * den - num) / num).cast("int")})
-    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ")
-    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("key"), words.alias("w"))
-    grams = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.xxhash64(a, b))
-    rows = rows.filter(F.size("w") > 1).select("doc_id", "key", grams.alias("g"))
-    # All templates' bigrams are a few thousand rows.
-    of = table.select("t", "least", "most", F.explode("template").alias("h"))
-    hits = rows.select("doc_id", "key", F.posexplode("g").alias("pos", "h")).join(F.broadcast(of), "h")
-    places = hits.groupBy("doc_id", "key", "t", "least", "most").agg(F.array_sort(F.collect_set("pos")).alias("p"))
-    # A window has `least` of the template's bigrams at least, all different, and at most `most` in all.
-    near = places.filter(F.size("p") >= F.col("least"))
-    near = near.select("doc_id", "key", "t", "most", "least", "p", F.explode(F.sequence(F.lit(0), F.size("p") - F.col("least"))).alias("i"))
-    ends = F.slice("p", F.col("i") + F.col("least"), F.size("p"))
-    start = F.get("p", F.col("i"))
-    # Bigrams that a window repeats count once: twice the places are looked at.
-    ends = near.select("doc_id", "key", "t", start.alias("a"), F.explode(F.filter(ends, lambda x: x - start < 2 * F.col("most"))).alias("b"))
-    # The texts of the few documents that have such places, by a broadcast of their names (16 bytes each): texts aren't shuffled.
-    ids = ends.select(F.col("doc_id").alias("i"), F.col("key").alias("j")).distinct()
-    few = rows.join(F.broadcast(ids), rows.doc_id.eqNullSafe(ids.i) & (rows.key == ids.j), "left_semi")
-    whole = few.dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "g")
-    met = ends.join(whole, ends.doc_id.eqNullSafe(whole.id) & (ends.key == whole.k)).join(F.broadcast(table.select("t", "licence", "template", "m")), "t")
-    window = F.array_distinct(F.slice("g", F.col("a") + 1, F.col("b") - F.col("a") + 1))
-    scored = met.select("doc_id", "key", "a", "b", "licence", "template", "m", window.alias("x")).select(
-        "doc_id", "key", "a", "b", "licence", F.size(F.array_intersect("x", "template")).alias("c"), (F.size("x") + F.col("m")).alias("total")
-    )
-    found = scored.filter(F.col("c") * 2 * den >= F.col("total") * num)
-    dice = F.col("c") * 2 / F.col("total")
-    # The best window of each start; of windows that overlap, those that have no better one.
-    found = found.groupBy("doc_id", "key", "licence", "a").agg(F.max(F.struct(dice.alias("dice"), "b")).alias("best"))
-    found = found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "best.b", "best.dice", "licence")).alias("ws"))
+    return words.filter(fits).select("doc_id", "key", "segment", _bigrams(F.col("w")).alias("bigrams"))
+
+
+class Template(NamedTuple):
+    licence: str
+    grams: list[int]  # distinct
+    words: int
+
+    def least(self, num: int, den: int) -> int:
+        """Bigrams of it that a match has at least."""
+        return _bounds(len(self.grams), num, den)[0]
+
+    def sql(self, num: int, den: int) -> str:
+        """As a struct: licence, grams, m (distinct), least, need (sum of a window), most (length of a window), gap (others in a row)."""
+        m, long = len(self.grams), self.words - 1
+        most = _bounds(long, num, den)[1]
+        gap = most - -(-num * (most + long) // (2 * den))
+        grams = ", ".join(f"{g}L" if g > -(1 << 63) else "-9223372036854775807L - 1L" for g in self.grams)
+        name = self.licence.replace("\\", "\\\\").replace("'", "\\'")
+        return f"named_struct('licence', '{name}', 'grams', array({grams}), 'm', {m}, 'least', {self.least(num, den)}, 'need', {num * m}, 'most', {most}, 'gap', {gap})"
+
+
+def _known(spark: SparkSession, known: list[tuple[str, str]]) -> list[Template]:
+    """Templates with their bigrams' hashes; those without bigrams are left out."""
+    rows = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(known)], "i long, licence string, words string")
+    made = rows.select("i", "licence", F.split("words", " ").alias("w")).select("i", "licence", _bigrams(F.col("w")).alias("g"), F.size("w").alias("n")).orderBy("i").collect()
+    return [Template(r.licence, r.g, r.n) for r in made if r.n > 1]
+
+
+def _words(docs: DataFrame) -> DataFrame:
+    """docs with g: hashes of its words' bigrams, in order."""
+    w = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ")
+    n = F.size("w") - 1
+    grams = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+    return docs.withColumn("w", w).filter(F.size("w") > 1).withColumn("g", grams).drop("w")
+
+
+def _may_match(docs: DataFrame, table: list[Template], num: int, den: int) -> DataFrame:
+    """The documents that have enough bigrams of some template."""
+    every = ", ".join(f"{g}L" for g in sorted({g for t in table for g in t.grams}))
+    hits = _words(docs).withColumn("h", F.expr(f"array_distinct(filter(g, x -> x IN ({every})))")).drop("g")
+    few = hits.filter(F.size("h") >= min(t.least(num, den) for t in table))
+    return few.filter(F.exists(_constant(table, num, den), lambda t: F.size(F.array_intersect("h", t["grams"])) >= t["least"])).drop("h")
+
+
+def _constant(table: list[Template], num: int, den: int) -> Column:
+    return F.expr(f"array({', '.join(t.sql(num, den) for t in table)})")
+
+
+def _runs(places: Column, t: Column, num: int, den: int) -> Column:
+    """Windows (a, b: first and last bigram) with the highest sums of the runs of a template's places in a text."""
+    nothing = F.array().cast("array<struct<a:int,b:int>>")
+    zero = F.lit(0)
+    start = F.struct(F.lit(-1).alias("last"), zero.alias("sum"), zero.alias("start"), zero.alias("best"), zero.alias("a"), zero.alias("b"), nothing.alias("out"))
+
+    def ended(s: Column) -> Column:
+        return F.when(s["best"] >= t["need"], F.concat(s["out"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b"))))).otherwise(s["out"])
+
+    def step(s: Column, p: Column) -> Column:
+        others = p - s["last"] - 1
+        left = s["sum"] - F.lit(num) * others
+        new = (s["last"] < 0) | (left <= 0) | (others > t["gap"]) | (p - s["start"] >= t["most"])
+        total = F.when(new, 0).otherwise(left) + F.lit(2 * den - num)
+        first = F.when(new, p).otherwise(s["start"])
+        up = new | (total > s["best"])
+        return F.struct(
+            p.alias("last"), total.alias("sum"), first.alias("start"), F.when(up, total).otherwise(s["best"]).alias("best"),
+            F.when(up, first).otherwise(s["a"]).alias("a"), F.when(up, p).otherwise(s["b"]).alias("b"), F.when(new, ended(s)).otherwise(s["out"]).alias("out"),
+        )
+
+    return F.aggregate(places, start, step, ended)
+
+
+def _windows(docs: DataFrame, table: list[Template], num: int, den: int) -> DataFrame:
+    """doc_id, key, licence, dice: of the windows of each document that match; all of it within the row."""
+    rows = _words(docs.filter("text is not null")).withColumn("t", F.filter(_constant(table, num, den), lambda t: F.size(F.array_intersect("g", t["grams"])) >= t["least"]))
+
+    def of(t: Column) -> Column:
+        at = F.filter(F.transform("g", lambda x, i: F.when(F.array_contains(t["grams"], x), i)), lambda i: i.isNotNull())
+
+        def scored(w: Column) -> Column:
+            x = F.array_distinct(F.slice("g", w["a"] + 1, w["b"] - w["a"] + 1))
+            return F.struct(w["a"].alias("a"), w["b"].alias("b"), t["licence"].alias("licence"), F.size(F.array_intersect(x, t["grams"])).alias("c"), (F.size(x) + t["m"]).alias("total"))
+
+        return F.transform(_runs(at, t, num, den), scored)
+
+    found = rows.select("doc_id", "key", F.flatten(F.transform("t", of)).alias("ws"))
+    found = found.select("doc_id", "key", F.filter("ws", lambda x: x["c"] * 2 * den >= x["total"] * num).alias("ws"))
 
     def worse(x: Column, y: Column) -> Column:
-        return (y["a"] <= x["b"]) & (x["a"] <= y["b"]) & ((y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & (y["licence"] < x["licence"])))
+        better = y["c"] / y["total"]
+        own = x["c"] / x["total"]
+        return (y["a"] <= x["b"]) & (x["a"] <= y["b"]) & ((better > own) | ((better == own) & (y["licence"] < x["licence"])))
+
+    kept = found.select("doc_id", "key", F.explode(F.filter("ws", lambda x: ~F.exists("ws", lambda y: worse(x, y)))).alias("x"))
+    return kept.select("doc_id", "key", F.col("x.licence").alias("licence"), (F.col("x.c") * 2 / F.col("x.total")).alias("dice"))
+
 
-    kept = found.select("doc_id", F.explode(F.filter("ws", lambda x: ~F.exists("ws", lambda y: worse(x, y)))).alias("x"))
-    return kept.groupBy("doc_id", F.col("x.licence").alias("licence")).agg(F.max("x.dice").alias("dice"))
+RESULT = "doc_id long, licence string, dice double, n_segments long"
 
 
 def scan_licences(spark: SparkSession, docs: DataFrame, known: list[tuple[str, str]] | None = None, num: int = NUM, den: int = DEN, windows: bool = False) -> DataFrame:
     """Per document and licence found: doc_id, licence, dice (best), n_segments (1 for a licence found in a window only)."""
-    known = templates() if known is None else known
-    sizes = [_bounds(max(len(set(zip(w, w[1:]))), 1), num, den) for w in (t.split() for _, t in known)]
-    quoted = ", ".join("('{}', '{}')".format(*(x.replace("'", "") for x in row)) for row in known)
-    table = spark.sql(f"SELECT * FROM VALUES {quoted} AS t(licence, words)").select("licence", _bigrams(F.split("words", " ")).alias("template"))
-    m = F.size("template")
-    span = F.sequence(F.floor((F.lit(num) * m + (2 * den - num - 1)) / (2 * den - num)).cast("int"), F.floor(m * (2 * den - num) / num).cast("int"))
-    every = table
-    table = table.filter(m > 0).select("licence", "template", F.explode(span).alias("n"))
-    found = segments(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), min(a for a, _ in sizes), max(b for _, b in sizes))
-    # The templates are constants of this module (or an argument): a few thousand rows to broadcast.
-    pairs = found.withColumn("n", F.size("bigrams")).join(F.broadcast(table), "n")
+    stage = Stage(spark, "licences")
+    table = _known(spark, templates() if known is None else known)
+    if not table:
+        return spark.createDataFrame([], RESULT)
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    docs = stage.write(_may_match(docs, table, num, den), "some")
+    sizes = [_bounds(len(t.grams), num, den) for t in table]
+    # Templates with the sizes of segments that they can match.
+    fits = F.explode(_constant(table, num, den)).alias("t")
+    span = F.sequence(F.floor((F.lit(num) * F.col("t.m") + (2 * den - num - 1)) / (2 * den - num)).cast("int"), F.floor(F.col("t.m") * (2 * den - num) / num).cast("int"))
+    sized = spark.range(1).select(fits).select("t.licence", F.col("t.grams").alias("template"), "t.m", F.explode(span).alias("n"))
+    found = segments(docs, min(a for a, _ in sizes), max(b for _, b in sizes))
+    pairs = found.withColumn("n", F.size("bigrams")).join(sized, "n")
     common = F.size(F.array_intersect("bigrams", "template"))
-    pairs = pairs.select("doc_id", "segment", "licence", common.alias("c"), (F.col("n") + m).alias("total")).filter(F.col("c") * 2 * den >= F.col("total") * num)
+    pairs = pairs.select("doc_id", "key", "segment", "licence", common.alias("c"), (F.col("n") + F.col("m")).alias("total")).filter(F.col("c") * 2 * den >= F.col("total") * num)
     dice = F.col("c") * 2 / F.col("total")
-    best = pairs.groupBy("doc_id", "segment").agg(F.min(F.struct((-dice).alias("d"), F.col("licence"))).alias("best"))
-    out = best.groupBy("doc_id", F.col("best.licence").alias("licence")).agg(F.max(-F.col("best.d")).alias("dice"), F.count("*").alias("n_segments"))
-    if not windows:
-        return out
-    more = _windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), every, num, den)
-    both = out.unionByName(more.withColumn("n_segments", F.lit(None).cast("long")))
-    # What segments found stays as it is.
-    seen = F.max("n_segments").alias("n")
-    dice = F.coalesce(F.max(F.when(F.col("n_segments").isNotNull(), F.col("dice"))), F.max("dice")).alias("dice")
-    return both.groupBy("doc_id", "licence").agg(dice, seen).select("doc_id", "licence", "dice", F.coalesce("n", F.lit(1).cast("long")).alias("n_segments"))
+    best = pairs.groupBy("doc_id", "key", "segment").agg(F.min(F.struct((-dice).alias("d"), F.col("licence"))).alias("best"))
+    # Rows without a doc_id are told apart by their texts.
+    by = [F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("key")).alias("other"), F.col("licence")]
+    out = best.select("doc_id", "key", F.col("best.licence").alias("licence"), (-F.col("best.d")).alias("dice")).groupBy(*by).agg(F.max("dice").alias("dice"), F.count("*").alias("n_segments"))
+    if windows:
+        more = _windows(docs, table, num, den).select("doc_id", by[1], "licence", "dice", F.lit(None).cast("long").alias("n_segments"))
+        # What segments found stays as it is.
+        dice = F.coalesce(F.max(F.when(F.col("n_segments").isNotNull(), F.col("dice"))), F.max("dice")).alias("dice")
+        both = out.unionByName(more).groupBy("doc_id", "other", "licence").agg(dice, F.max("n_segments").alias("n"))
+        out = both.select("doc_id", "licence", "dice", F.coalesce("n", F.lit(1).cast("long")).alias("n_segments"))
+    return out.select("doc_id", "licence", "dice", "n_segments")
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
