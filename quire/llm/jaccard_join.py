@@ -3,12 +3,12 @@
 Every text becomes its set of distinct word shingles (64-bit hashes). Equal sets
 form one class and only classes are compared.
 
-Finding pairs without comparing all: two sets above the threshold differ in few
-elements. Elements are hashed into more groups than that number, so at least one
-group holds the same elements in both sets; classes meet in buckets keyed by a
-group and its content. Group counts are chosen by bands of set sizes; a class
-enters its own band's buckets and, if it can have a larger partner there, the
-next band's.
+Finding pairs without comparing all: elements have one order for all sets, in which
+elements of many sets come last. Of two sets above the threshold the first elements
+of each, so many that the others do not suffice for the overlap, have one in common;
+the smaller set needs fewer of them. Classes meet in buckets keyed by these elements,
+and buckets of (nearly) the same classes are one. Which elements are of many sets is
+estimated; it changes the work, not the links.
 
 In each bucket the classes' count vectors (elements in each of 64 groups) are
 the points of an R-tree. A pair's overlap is at most the sum of its coordinates'
@@ -18,6 +18,8 @@ nothing is left to be found, all surviving pairs whose classes are not connected
 yet. No pair that could connect two components is left out, and copies or tight
 groups cost a chain of links instead of all pairs.
 
+Sets are told apart, and elements compared, by 64-bit hashes.
+
 Defined results: a null text is empty; a text without words has an empty set and
 links with nothing; rows are judged by their own text, also when they repeat a
 doc_id; a row without a doc_id is in the component of rows with a doc_id whose
@@ -33,39 +35,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .bytesvec import LOWER, R, SPACE, mix, pieces, shingle_hashes, span_hashes, text_buffer, words
+from .bytesvec import LOWER, SPACE, mix, pieces, shingle_hashes, span_hashes, text_buffer, words
 from .components import connected_components
 from .staging import Stage
 
 DIMS = 64
 #: Rows of one bucket in one unit of work; a larger bucket is split into pairs of blocks.
 BLOCK = 20_000
-#: Largest over smallest size in a band.
-BAND = 1.25
 LEAF = 32
+#: Elements are counted in runs of RUN; those seen SEEN times in a run are added up, and of HEAVY times or more, up to MAX_HEAVY elements come last in the order.
+RUN, SEEN, HEAVY, MAX_HEAVY = 4_000_000, 3, 50, 1_000_000
 
 
 class Scheme:
-    """Sizes, bands and groups for sets whose Jaccard similarity is at least num/den."""
+    """Sizes and overlaps of sets whose Jaccard similarity is at least num/den."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        starts = [1]
-        while starts[-1] < 1 << 40:  # a band spans den / num at least, so a partner is in the next band at most
-            starts.append(max(starts[-1] + 1, int(starts[-1] * BAND), starts[-1] * den // num))
-        self.starts = np.array(starts, dtype=np.int64)
-        # Sizes below starts[j + 1]: the union is at most max / t, and the sets differ in at most (1 - t) of it.
-        self.differ = (self.starts[1:] - 1) * (den - num) // num
-        spare = np.where(self.differ < 8, 0, np.where(self.differ < 32, 1, 2))
-        self.spare = spare
-        self.groups = self.differ + 1 + spare
-
-    def band(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, sizes, side="right") - 1
-
-    def reaches_next(self, sizes: np.ndarray) -> np.ndarray:
-        """Whether a set of the next band can be similar enough."""
-        return sizes * self.den >= self.num * self.starts[self.band(sizes) + 1]
+
+    def first(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many first elements a set needs against larger (or equal) sets, and against smaller ones."""
+        return sizes - self.needed(sizes, sizes) + 1, sizes + (-self.num * sizes) // self.den + 1
 
     def needed(self, a, b):
         """Least overlap of sets of sizes a and b that links them: den * i >= num * (a + b - i)."""
@@ -82,28 +72,6 @@ def shingle_sets(col: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarr
         yield start, stop - start, h, t
 
 
-def _group_keys(scheme: Scheme, h: np.ndarray, t: np.ndarray, band: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) for each group of the active texts, by the given bands."""
-    groups = np.where(active, scheme.groups[band], 0)
-    base = np.concatenate(([0], np.cumsum(groups)))
-    total = int(base[-1])
-    if not total:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    keep = active[t]
-    h, t = h[keep], t[keep]
-    slot = base[t] + (mix(h ^ np.uint64(R)) % groups[t].astype(np.uint64)).astype(np.int64)
-    content = np.zeros(total, dtype=np.uint64)
-    np.add.at(content, slot, mix(h + np.uint64(0x1F83D9ABFB41BD6B)))
-    size = np.bincount(slot, minlength=total)
-    text = np.repeat(np.arange(len(groups)), groups)
-    place = np.arange(total) - base[text]
-    key = mix(content + mix(place.astype(np.uint64) + (band[text].astype(np.uint64) << np.uint64(40)) + (size.astype(np.uint64) << np.uint64(50))))
-    # One more equal group than a set has empty ones is a non-empty equal group. So only sets with more empty groups than that need those.
-    empty = np.bincount(text, weights=size == 0, minlength=len(groups)).astype(np.int64)
-    keep = (size > 0) | (empty > scheme.spare[band])[text]
-    return text[keep], key[keep]
-
-
 def encode_vectors(counts: np.ndarray) -> list[bytes]:
     """A row of counts as bytes: one each if all are below 256, else four."""
     small = counts.max(axis=1, initial=0) < 256
@@ -115,12 +83,10 @@ def decode_vector(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8 if len(data) == DIMS else "<u4").astype(np.int32)
 
 
-SETS = "doc_id long, n long, cid long, vec binary, keys array<long>"
+SETS = "doc_id long, n long, cid long, vec binary, elements binary"
 
 
-def _sets_udf(width: int, num: int, den: int):
-    scheme = Scheme(num, den)
-
+def _sets_udf(width: int):
     def run(batches):
         for batch in batches:
             col = batch.column("text")
@@ -130,22 +96,70 @@ def _sets_udf(width: int, num: int, den: int):
                 np.add.at(cid, t, mix(h ^ np.uint64(0x5BE0CD19137E2179)))
                 cid = mix(cid + sizes.astype(np.uint64))
                 counts = np.bincount(t * DIMS + (h >> np.uint64(58)).astype(np.int64), minlength=n * DIMS).reshape(n, DIMS)
-                band = scheme.band(np.maximum(sizes, 1))
-                some = sizes > 0
-                t1, k1 = _group_keys(scheme, h, t, band, some)
-                t2, k2 = _group_keys(scheme, h, t, band + 1, some & scheme.reaches_next(np.maximum(sizes, 1)))
-                text, key = np.concatenate((t1, t2)), np.concatenate((k1, k2))
-                order = np.argsort(text, kind="stable")
-                offsets = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n))))
-                keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key[order].view(np.int64)))
+                offsets = np.concatenate(([0], np.cumsum(sizes * 8))).astype(np.int32)
+                elements = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(h)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, n), pa.array(sizes, pa.int64()), pa.array(cid.view(np.int64)), pa.array(encode_vectors(counts), pa.binary()), keys],
-                    names=["doc_id", "n", "cid", "vec", "keys"],
+                    [batch.column("doc_id").slice(start, n), pa.array(sizes, pa.int64()), pa.array(cid.view(np.int64)), pa.array(encode_vectors(counts), pa.binary()), elements],
+                    names=["doc_id", "n", "cid", "vec", "elements"],
                 )
 
     return run
 
 
+def _classes(batches) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(class, its size, elements of all of them) of batches of sets; a class comes once in a task, as far as memory allows."""
+    seen: set[int] = set()
+    for batch in batches:
+        cid = batch.column("cid").to_numpy()
+        sizes = batch.column("n").to_numpy()
+        new = np.array([i for i, c in enumerate(cid.tolist()) if sizes[i] and not (c in seen or (len(seen) < 1_000_000 and seen.add(c)))], dtype=np.int64)
+        if len(new):
+            data = batch.column("elements").take(pa.array(new))
+            yield cid[new], sizes[new], np.frombuffer(b"".join(x.as_buffer() for x in data), dtype=np.uint64)
+
+
+def _seen_often(batches):
+    held, size = [], 0
+
+    def out():
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        some = n >= SEEN
+        return pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(n[some], pa.int64())], names=["h", "n"])
+
+    for _, _, h in _classes(batches):
+        held.append(h)
+        size += len(h)
+        if size >= RUN:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+def _keys_udf(num: int, den: int, heavy):
+    """(key, cid, first: whether it is one of those needed against larger sets) of each class."""
+    scheme = Scheme(num, den)
+
+    def run(batches):
+        order = heavy.value  # sorted by count
+        by = np.argsort(order)
+        known = order[by]
+        for cid, n, h in _classes(batches):
+            t = np.repeat(np.arange(len(n)), n)
+            late = np.zeros(len(h), dtype=np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                late = np.where(known[at] == h, by[at] + 1, 0)
+            turn = np.lexsort((h, late, t))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            few, most = scheme.first(n)
+            keep = place < most[t]
+            turn, place, t = turn[keep], place[keep], t[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(h[turn].view(np.int64)), pa.array(cid[t]), pa.array(place < few[t])], names=["key", "cid", "first"])
+
+    return run
+
+
 # --------------------------------------------------------------------------- the tree
 
 
@@ -343,22 +357,30 @@ class JaccardJoin:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def sets(self) -> DataFrame:
-        """Per row: doc_id, n (set size), cid (class of equal sets), vec, keys."""
-        return self.stage.write(self.docs.mapInArrow(_sets_udf(self.width, self.num, self.den), SETS), "sets")
+        """Per row: doc_id, n (set size), cid (class of equal sets), vec, elements."""
+        return self.stage.write(self.docs.mapInArrow(_sets_udf(self.width), SETS), "sets")
 
     def buckets(self, sets: DataFrame) -> DataFrame:
-        """(bucket, cid) of the classes that share a bucket with another; equal buckets are one."""
-        reps = sets.filter("n > 0").groupBy("cid").agg(F.first("keys").alias("keys"))
-        keyed = reps.select("cid", F.explode("keys").alias("key"))
+        """(bucket, cid) of the classes that share a bucket with another."""
+        often = sets.select("cid", "n", "elements").mapInArrow(_seen_often, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        # At most MAX_HEAVY numbers, to order elements by.
+        heavy = often.filter(F.col("n") >= HEAVY).orderBy(F.desc("n"), "h").limit(MAX_HEAVY).toArrow()
+        sent = self.spark.sparkContext.broadcast(heavy.column("h").to_numpy()[::-1].view(np.uint64).copy())
+        keyed = sets.select("cid", "n", "elements").mapInArrow(_keys_udf(self.num, self.den, sent), "key long, cid long, first boolean")
         w = Window.partitionBy("key")
+        other = F.xxhash64("cid")
         met = keyed.select(
             "cid",
             F.min("cid").over(w).alias("low"),
             F.max("cid").over(w).alias("high"),
-            F.count("*").over(w).alias("members"),
-            F.bit_xor(F.xxhash64("cid")).over(w).alias("all"),
-        ).filter("low <> high")
-        return self.stage.write(met.select(F.xxhash64("low", "high", "members", "all").alias("bucket"), "members", "cid").distinct(), "buckets")
+            F.min(other).over(w).alias("low2"),
+            F.max(other).over(w).alias("high2"),
+            F.max("first").over(w).alias("some"),
+        ).filter("low <> high and some")
+        # Buckets with the same least and greatest classes, by two orders, are one: nearly always they hold the same.
+        out = self.stage.write(met.select(F.xxhash64("low", "high", "low2", "high2").alias("bucket"), "cid").distinct(), "buckets")
+        sent.destroy()
+        return out
 
     def _candidates(self, buckets: DataFrame, vectors: DataFrame, comps: DataFrame | None) -> DataFrame:
         """Pairs (a, b) of classes to be verified: a spanning forest, or all between components."""
@@ -368,6 +390,7 @@ class JaccardJoin:
             rows = buckets.join(comps.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
             mixed = rows.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
             rows = rows.join(mixed, "bucket")
+        rows = rows.join(rows.groupBy("bucket").agg(F.count("*").alias("members")), "bucket")
         # A bucket of more than BLOCK members is split into blocks, and every pair of blocks is a unit.
         blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
         mine = F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int")
@@ -383,34 +406,26 @@ class JaccardJoin:
         return rows.select("unit", "cid", "n", "vec", "side", "two", "comp").mapInArrow(_pairs_udf(self.num, self.den, comps is not None), "a long, b long").distinct()
 
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """(a, b, links) from the sets themselves, made again for the classes in question."""
+        """(a, b, links) from the sets themselves."""
         ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        wanted = self.stage.write(sets.join(ids, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null"), "wanted")
-        width = self.width
-
-        def arrays(batches):
-            for batch in batches:
-                col = batch.column("text")
-                for _, n, h, t in shingle_sets(col, width):
-                    cid = np.zeros(n, dtype=np.uint64)
-                    np.add.at(cid, t, mix(h ^ np.uint64(0x5BE0CD19137E2179)))
-                    sizes = np.bincount(t, minlength=n)
-                    offsets = np.concatenate(([0], np.cumsum(sizes)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(mix(cid + sizes.astype(np.uint64)).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))],
-                        names=["cid", "elements"],
-                    )
-
-        texts = self.docs.join(wanted.select("doc_id").distinct(), "doc_id").select("text")
-        made = texts.mapInArrow(arrays, "cid long, elements array<long>")
-        # A repeated doc_id may bring other texts: only wanted classes stay, once each.
-        made = self.stage.write(made.join(wanted.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "elements")
+        made = sets.select("cid", "elements").join(ids, "cid", "left_semi").groupBy("cid").agg(F.first("elements").alias("elements"))
+        made = self.stage.write(made, "elements")
         left = pairs.join(made.select(F.col("cid").alias("a"), F.col("elements").alias("x")), "a")
         both = left.join(made.select(F.col("cid").alias("b"), F.col("elements").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        union = F.size("x") + F.size("y") - common
-        out = both.select("a", "b", (F.lit(self.den) * common >= F.lit(self.num) * union).alias("links"))
-        return self.stage.write(out, "verified")
+        num, den = self.num, self.den
+
+        def compare(batches):
+            for batch in batches:
+                links = []
+                for x, y in zip(batch.column("x"), batch.column("y")):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    links.append(den * common >= num * (len(x) + len(y) - common))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(links, pa.bool_())], names=["a", "b", "links"])
+
+        out = self.stage.write(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, links boolean"), "verified")
+        self.stage.drop(made)
+        return out
 
     def components(self) -> DataFrame:
         """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
@@ -418,22 +433,22 @@ class JaccardJoin:
         sets = self.sets()
         classes = st.write(sets.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec")), "classes")
         buckets = self.buckets(sets)
-        slim = sets.select("doc_id", "cid")
         vectors = classes.select("cid", "n", "vec")
         first = st.write(self._candidates(buckets, vectors, None), "forest")
-        done = self.verify(first, slim)
+        done = self.verify(first, sets)
         comps = connected_components(done.filter("links"), st)
         more = self._candidates(buckets, vectors, comps).join(done.select("a", "b"), ["a", "b"], "left_anti")
         more = st.write(more, "rest")
         links = done.filter("links").select("a", "b")
         if more.limit(1).count():
-            links = links.unionByName(self.verify(more, slim).filter("links").select("a", "b"))
+            links = links.unionByName(self.verify(more, sets).filter("links").select("a", "b"))
             comps = connected_components(links, st)
         linked = classes.join(comps.withColumnRenamed("id", "cid"), "cid").select("cid", "component", "rep")
         smallest = linked.groupBy("component").agg(F.min("rep").alias("smallest"))
         named = linked.join(smallest, "component").select("cid", "smallest")
         table = classes.select("cid", "rep").join(named, "cid", "left").select("cid", F.coalesce("smallest", "rep").alias("component_id"))
         table = st.write(table, "components")
+        st.drop(buckets, first, more)
         out = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(table, "cid", "left")
         return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
