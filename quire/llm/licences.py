@@ -31,6 +31,7 @@ each text is a document of its own; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from typing import NamedTuple
 
@@ -216,14 +217,12 @@ class Template(NamedTuple):
         """Bigrams of it that a match has at least."""
         return _bounds(len(self.grams), num, den)[0]
 
-    def sql(self, num: int, den: int) -> str:
-        """As a struct: licence, grams, m (distinct), least, need (sum of a window), most (length of a window), gap (others in a row)."""
+    def fields(self, num: int, den: int) -> dict:
+        """m: distinct bigrams; need: sum of a window; most: its length; gap: others in a row."""
         m, long = len(self.grams), self.words - 1
         most = _bounds(long, num, den)[1]
         gap = most - -(-num * (most + long) // (2 * den))
-        grams = ", ".join(f"{g}L" if g > -(1 << 63) else "-9223372036854775807L - 1L" for g in self.grams)
-        name = self.licence.replace("\\", "\\\\").replace("'", "\\'")
-        return f"named_struct('licence', '{name}', 'grams', array({grams}), 'm', {m}, 'least', {self.least(num, den)}, 'need', {num * m}, 'most', {most}, 'gap', {gap})"
+        return {"licence": self.licence, "grams": self.grams, "m": m, "least": self.least(num, den), "need": num * m, "most": most, "gap": gap}
 
 
 def _known(spark: SparkSession, known: list[tuple[str, str]]) -> list[Template]:
@@ -242,15 +241,18 @@ def _words(docs: DataFrame) -> DataFrame:
 
 
 def _may_match(docs: DataFrame, table: list[Template], num: int, den: int) -> DataFrame:
-    """The documents that have enough bigrams of some template."""
+    """The documents that have enough bigrams of some template, with g."""
     every = ", ".join(f"{g}L" for g in sorted({g for t in table for g in t.grams}))
-    hits = _words(docs).withColumn("h", F.expr(f"array_distinct(filter(g, x -> x IN ({every})))")).drop("g")
-    few = hits.filter(F.size("h") >= min(t.least(num, den) for t in table))
-    return few.filter(F.exists(_constant(table, num, den), lambda t: F.size(F.array_intersect("h", t["grams"])) >= t["least"])).drop("h")
+    least = min(t.least(num, den) for t in table)
+    # Within the outer array what it holds is made once; a column would be made again for each template.
+    enough = lambda h: (F.size(h) >= least) & F.exists(_constant(table, num, den), lambda t: F.size(F.array_intersect(h, t["grams"])) >= t["least"])
+    return _words(docs).filter(F.exists(F.array(F.expr(f"array_distinct(filter(g, x -> x IN ({every})))")), enough))
 
 
 def _constant(table: list[Template], num: int, den: int) -> Column:
-    return F.expr(f"array({', '.join(t.sql(num, den) for t in table)})")
+    """The templates as one constant, an array of structs."""
+    rows = json.dumps([t.fields(num, den) for t in table])
+    return F.from_json(F.lit(rows), "array<struct<licence:string,grams:array<long>,m:int,least:int,need:int,most:int,gap:int>>")
 
 
 def _runs(places: Column, t: Column, num: int, den: int) -> Column:
@@ -278,8 +280,8 @@ def _runs(places: Column, t: Column, num: int, den: int) -> Column:
 
 
 def _windows(docs: DataFrame, table: list[Template], num: int, den: int) -> DataFrame:
-    """doc_id, key, licence, dice: of the windows of each document that match; all of it within the row."""
-    rows = _words(docs.filter("text is not null")).withColumn("t", F.filter(_constant(table, num, den), lambda t: F.size(F.array_intersect("g", t["grams"])) >= t["least"]))
+    """doc_id, key, licence, dice: of the windows of each document (with g) that match; all of it within the row."""
+    rows = docs.withColumn("t", F.filter(_constant(table, num, den), lambda t: F.size(F.array_intersect("g", t["grams"])) >= t["least"]))
 
     def of(t: Column) -> Column:
         at = F.filter(F.transform("g", lambda x, i: F.when(F.array_contains(t["grams"], x), i)), lambda i: i.isNotNull())
