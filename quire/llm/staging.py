@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows and bytes in one Arrow batch handed to a Python worker. Texts may be long,
 #: so the default of 10,000 rows could be gigabytes.
@@ -65,6 +65,12 @@ class Stage:
         out._quire_path = at
         return out
 
+    def small(self, df: DataFrame, most: int = 16 << 20) -> DataFrame:
+        """A written table, to be broadcast if its files have at most `most` bytes; else Spark joins it as any other."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._quire_path)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return F.broadcast(df) if fs.getContentSummary(at).getLength() <= most else df
+
     def drop(self, *dfs: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
