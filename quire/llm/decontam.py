@@ -17,13 +17,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bytesvec import class_table
-from .staging import prepare
+from .staging import Stage, prepare
 
 WIDTH = 10
 #: Patterns in one automaton; more are dealt to further automata, each scanned over the documents.
@@ -48,9 +49,9 @@ def windows_of(words: list[bytes], width: int) -> set[bytes]:
 def pattern_shards(benchmark: DataFrame, width: int, most: int) -> Iterator[dict[str, tuple[int, frozenset]]]:
     """Window (as Latin-1 of its UTF-8 bytes) -> (number of words, ids of its items); at most about `most` windows at a time.
 
-    The rows come through toLocalIterator, so the driver holds one shard. All
-    rows of an item are in one shard only if the shard does not overflow; the
-    caller unites items over shards.
+    The rows come through toLocalIterator, so the driver holds one or two shards.
+    All rows of an item are in one shard only if the shard does not overflow;
+    the caller unites items over shards.
     """
     shard: dict[str, tuple[int, frozenset]] = {}
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
@@ -139,27 +140,27 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
     """
     prepare(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).alias(f"keep_{c}") for c in keep), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text")
-    ddl = f"{fields}, n_words long, hit_words array<int>, items array<string>, spans array<struct<start:int,end:int>>"
+    found = "n_words long, hit_words array<int>, items array<string>, spans array<struct<start:int,end:int>>"
+
+    def scanned(rows: DataFrame, patterns: dict) -> DataFrame:
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+        return rows.mapInArrow(_scan_udf(patterns, with_spans), f"{fields}, {found}")
+
     shards = pattern_shards(benchmark, width, max_patterns)
     first = next(shards)
-    out = base.mapInArrow(_scan_udf(first, with_spans), ddl)
-    rest = [base.mapInArrow(_scan_udf(s, with_spans), ddl) for s in shards]
-    if not rest:
-        return out
-    # Several automata: unite the hits of each document. doc_id need not be unique, so rows are told apart by their content.
-    whole = out
-    for r in rest:
-        whole = whole.unionByName(r)
-    keys = ["doc_id", *(f"keep_{c}" for c in keep), "n_words"]
-    copies = len(rest) + 1
-    union = whole.groupBy(*keys).agg(
-        (F.count("*") / copies).cast("int").alias("copies"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-    )
-    return union.withColumn("_c", F.explode(F.sequence(F.lit(1), "copies"))).drop("_c", "copies")
+    more = next(shards, None)
+    if more is None:
+        return scanned(base, first)
+    # Several automata: rows are numbered, and their hits united by number.
+    stage = Stage(spark, "decontam")
+    numbered = stage.write(base.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    hits = None
+    for patterns in chain((first, more), shards):
+        part = stage.write(scanned(numbered.select("_row", "text"), patterns), "hits")
+        hits = part if hits is None else hits.unionByName(part)
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    hits = hits.groupBy("_row").agg(F.max("n_words").alias("n_words"), united("hit_words"), united("items"), united("spans"))
+    return numbered.drop("text").join(hits, "_row").drop("_row")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -22,9 +22,8 @@ Sets are told apart, and elements compared, by 64-bit hashes.
 
 Defined results: a null text is empty; a text without words has an empty set and
 links with nothing; rows are judged by their own text, also when they repeat a
-doc_id; a row without a doc_id is in the component of rows with a doc_id whose
-set equals its own, else it links with nothing and its component_id is null;
-extra columns are ignored.
+doc_id; rows without a doc_id link like others, and a component of such rows only
+has a null component_id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,7 +82,7 @@ def decode_vector(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8 if len(data) == DIMS else "<u4").astype(np.int32)
 
 
-SETS = "doc_id long, n long, cid long, vec binary, elements binary"
+SETS = "doc_id long, text_key long, n long, cid long, vec binary, elements binary"
 
 
 def _sets_udf(width: int):
@@ -99,8 +98,8 @@ def _sets_udf(width: int):
                 offsets = np.concatenate(([0], np.cumsum(sizes * 8))).astype(np.int32)
                 elements = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(h)])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(start, n), pa.array(sizes, pa.int64()), pa.array(cid.view(np.int64)), pa.array(encode_vectors(counts), pa.binary()), elements],
-                    names=["doc_id", "n", "cid", "vec", "elements"],
+                    [batch.column("doc_id").slice(start, n), batch.column("text_key").slice(start, n), pa.array(sizes, pa.int64()), pa.array(cid.view(np.int64)), pa.array(encode_vectors(counts), pa.binary()), elements],
+                    names=["doc_id", "text_key", "n", "cid", "vec", "elements"],
                 )
 
     return run
@@ -354,10 +353,11 @@ class JaccardJoin:
     def __init__(self, spark: SparkSession, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100):
         self.spark, self.width, self.num, self.den = spark, width, num, den
         self.stage = Stage(spark, "jaccard")
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
     def sets(self) -> DataFrame:
-        """Per row: doc_id, n (set size), cid (class of equal sets), vec, elements."""
+        """Per row: doc_id, text_key, n (set size), cid (class of equal sets), vec, elements."""
         return self.stage.write(self.docs.mapInArrow(_sets_udf(self.width), SETS), "sets")
 
     def buckets(self, sets: DataFrame) -> DataFrame:
@@ -428,7 +428,10 @@ class JaccardJoin:
         return out
 
     def components(self) -> DataFrame:
-        """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+        """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links), text_key (hash of the text) and group (null for an empty set).
+
+        Where ids repeat, rows of different components may have one component_id, but never one group.
+        """
         st = self.stage
         sets = self.sets()
         classes = st.write(sets.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("vec").alias("vec")), "classes")
@@ -445,16 +448,17 @@ class JaccardJoin:
             comps = connected_components(links, st)
         linked = classes.join(comps.withColumnRenamed("id", "cid"), "cid").select("cid", "component", "rep")
         smallest = linked.groupBy("component").agg(F.min("rep").alias("smallest"))
-        named = linked.join(smallest, "component").select("cid", "smallest")
-        table = classes.select("cid", "rep").join(named, "cid", "left").select("cid", F.coalesce("smallest", "rep").alias("component_id"))
+        named = linked.join(smallest, "component").select("cid", "component", "smallest")
+        table = classes.select("cid", "rep").join(named, "cid", "left").select("cid", F.coalesce("component", "cid").alias("group"), F.coalesce("smallest", "rep").alias("component_id"))
         table = st.write(table, "components")
         st.drop(buckets, first, more)
-        out = sets.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(table, "cid", "left")
-        return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        out = sets.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(table, "cid", "left")
+        component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+        return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key", "group")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return JaccardJoin(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, num=90, den=100).components()
+    return JaccardJoin(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, num=90, den=100).components().select("doc_id", "n_shingles", "component_id")
 
 
 OP7_SQL = r"""

@@ -65,9 +65,9 @@ class Stage:
         out._quire_path = at
         return out
 
-    def small(self, df: DataFrame, most: int = 16 << 20) -> DataFrame:
-        """A written table, to be broadcast if its files have at most `most` bytes; else Spark joins it as any other."""
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._quire_path)
+    def small(self, df: DataFrame, table: DataFrame | None = None, most: int = 16 << 20) -> DataFrame:
+        """df, of a written table (itself by default), to be broadcast if the table's files have at most `most` bytes; else Spark joins it as any other."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path((df if table is None else table)._quire_path)
         fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return F.broadcast(df) if fs.getContentSummary(at).getLength() <= most else df
 

@@ -419,6 +419,16 @@ def test_bm25_repeats(spark, monkeypatch, shard_docs, query_block, batch, block)
     assert got == want
 
 
+def test_decontamination_by_several_automata(spark):
+    """Rows that repeat an id, or have none, are judged singly however many automata there are."""
+    from quire.llm.decontam import contamination, digest
+
+    docs = spark.createDataFrame([(7, "one two three four"), (7, "red green blue white"), (None, "one two three four"), (None, "red green blue white"), (8, None), (9, "seven eight nine")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "two three"), ("b", "eight"), ("c", "nothing here"), ("b", "seven")], "item_id string, text string")
+    one, many = (sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in digest(contamination(spark, docs, items, max_patterns=n)).collect()) for n in (100, 1))
+    assert one == many and [r[5] for r in one if r[0] == "7"] == [False, True] and [r[2] for r in one if r[0] == "9"] == [2]
+
+
 # ------------------------------------------------------------------ 7 Jaccard join
 
 
@@ -692,6 +702,19 @@ def test_pipeline_stages(spark, tmp_path):
         assert all(line in it for line in x.text.split("\n")) and x.n_chars == len(x.text)
 
 
+def test_near_duplicates_by_row(spark):
+    """A text goes only with its own group, also where ids repeat or are missing."""
+    import corpus_pipeline as p
+
+    r = random.Random(3)
+    text, other = (" ".join(f"w{r.randrange(900)}" for _ in range(80)) for _ in range(2))
+    near = text.rsplit(" ", 1)[0] + " x"
+    rows = [(1, text), (2, near), (2, other), (3, other), (3, other), (None, text), (None, "a b c d e f g"), (None, "a b c d e f g"), (4, ""), (4, None), (5, "lone words of its own kind")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = Counter((x.doc_id, x.text) for x in p.near_duplicates(spark, docs, SF).collect())
+    assert got == Counter([(1, text), (2, other), (None, "a b c d e f g"), (4, ""), (4, None), (5, "lone words of its own kind")])
+
+
 def test_pipeline_stages_odd(spark):
     import corpus_pipeline
 
