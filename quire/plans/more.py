@@ -18,19 +18,57 @@ def picked(options, by="line_idx"):
     return F.element_at(F.array(*(F.lit(x) for x in options)), (F.col(by) % len(options) + 1).cast("int"))
 
 
-def case(options, values):
-    """SQL: the value at the place of the line."""
-    q = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else str(v)
-    return f"CASE CAST(line_idx AS BIGINT) % {len(options)} " + " ".join(f"WHEN {i} THEN {q(v)}" for i, v in enumerate(values)) + " END"
+def computed(make, options, expr, column="v", by=None):
+    """Query over whole lines after one of the options, and the SQL that computes the result from the same texts (t). by: what follows the option in place of the line."""
+    rest = by or (lambda: F.col("text"), "text")
 
+    def run(spark, d):
+        return spans(spark, d).withColumn("t", F.concat(picked(options), rest[0]())).select(*LINE, make(F.col("t")).alias(column))
 
-def cases(make, options, values, column="v"):
-    """Query over lines whose text is one of the options, with the SQL that states each option's result."""
+    quoted = ", ".join("'" + x.replace("'", "''") + "'" for x in options)
+    t = f"list_extract([{quoted}], CAST(line_idx % {len(options)} + 1 AS BIGINT)) || {rest[1]}"
+    return run, f"{W}, planted AS (SELECT *, {t} AS t FROM spans) SELECT {L_SQL}, {expr} AS {column} FROM planted"
+
+
+def _strip(x):
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def _any(x, words):
+    return "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+
+
+def _plain(pattern):
+    """A pattern for SQL: the flag of Unicode classes is left out, as it means another thing there."""
+    return "'" + pattern.replace("(?U)", "").replace("(?mU)", "(?m)").replace("'", "''") + "'"
 
-    def run(spark, d):
-        return spans(spark, d).withColumn("t", picked(options)).select(*LINE, make(F.col("t")).alias(column))
 
-    return run, f"{W} SELECT {L_SQL}, {case(options, values)} AS {column} FROM spans"
+def _replaced(x, words):
+    for w in words:
+        x = f"replace({x}, '{w}', '')"
+    return x
+
+
+def _restored(x):
+    """SQL of T.restored_symbols, with groups in place of lookarounds."""
+    x = rf"regexp_replace({x}, '(?m)^(\s*(?:>|\*|#)*\s*[*#]{{0,3}}\s*)([一二三四五六七八九十]+)[)）]', '\1（\2）', 'g')"
+    for n in range(20, 0, -1):
+        x = rf"regexp_replace({x}, '(?m)^(\s*(?:>|\*)*\s*){n}([一-龥])', '\1{chr(0x245F + n)}\2', 'g')"
+    x = rf"regexp_replace({x}, '(\d)\s*~\s*(\d)', '\1～\2', 'g')"
+    return rf"regexp_replace({x}, '(?m)^\s*!\[[^\]]*\]\(\s*\)(?:\{{[^\n}}]*\}})?\s*\n?', '', 'g')"
+
+
+def _tag(x):
+    n = f"trim(lower({x}))"
+    return f"CASE WHEN {n} = '' THEN NULL " + " ".join(f"WHEN {_any(n, words)} THEN '{tag}'" for tag, words in T.FONT_FAMILIES) + " END"
+
+
+_ANSWER = _strip(r"regexp_replace(regexp_replace(t, '(?s)<think>.*?</think>', '', 'g'), '(?s)<think>.*$', '')")
+_ANSWER = _strip(rf"regexp_replace(regexp_replace({_ANSWER}, '^```(?:markdown|json|text)?\s*\n?', ''), '\n?```\s*$', '')")
+#: What follows a font's name: nothing for every other book.
+_OF_BOOK = (lambda: F.when(F.col("page_num") % 2 == 0, "").otherwise(F.concat(F.lit("-"), F.col("book"))), "CASE WHEN page_num % 2 = 0 THEN '' ELSE '-' || book END")
+#: The same for texts that may be a tag and nothing else.
+_OR_LINE = (lambda: F.when(F.col("page_num") % 2 == 0, "").otherwise(F.col("text")), "CASE WHEN page_num % 2 = 0 THEN '' ELSE text END")
 
 
 def header(spark, d):
@@ -164,7 +202,7 @@ SELECT book, page_num, w > 10 AND NOT (w < 595.0 * 0.28 AND n <= 8) AND k > 1 AN
 
 def indents(spark, d):
     """Level of contents titles by indent: below 5 points as it is, below 25 two at least, else three."""
-    rows = spans(spark, d).withColumns({"x": F.col("x0") + F.col("line_idx") % 4 * 10, "t": picked(TITLES)})
+    rows = spans(spark, d).withColumns({"x": F.col("x0") + F.col("line_idx") % 4 * 10, "t": F.concat(picked(TITLES), "text")})
     least = F.min("x").over(Window.partitionBy("book", "page_num"))
     n = F.count("*").over(Window.partitionBy("book", "page_num"))
     rows = rows.withColumns({"ind": F.col("x") - least, "n": n, "base": T.toc_title_level(F.col("t"))})
@@ -173,9 +211,14 @@ def indents(spark, d):
 
 
 TITLES = ("第三章 总论", "第二节 方法", "（三）细节", "附录", "1.2.3 步骤", "其他")
+_TITLE = "list_extract([" + ", ".join(f"'{x}'" for x in TITLES) + f"], CAST(line_idx % {len(TITLES)} + 1 AS BIGINT)) || text"
+_BASE = (
+    f"CASE WHEN regexp_matches({_TITLE}, '^(?:[上下中]\\s*篇|第[一二三四五六七八九十百零]+[章卷篇編]|目錄|目录|序|結語|结语|後記|后记|前言|附錄|附录|主要參考文獻|主要参考文献)') THEN 1 "
+    f"WHEN regexp_matches({_TITLE}, '^(?:[(（][一二三四五六七八九十\\d]+[)）]|\\d+\\.\\d+\\.\\d+)') THEN 3 ELSE 2 END"
+)
 INDENT_SQL = (
     W
-    + f""", r AS (SELECT *, x0 + line_idx % 4 * 10 AS x, {case(TITLES, (1, 2, 3, 1, 3, 2))} AS base FROM spans), q AS (SELECT *, x - min(x) OVER (PARTITION BY book, page_num) AS ind, count(*) OVER (PARTITION BY book, page_num) AS n FROM r)
+    + f""", r AS (SELECT *, x0 + line_idx % 4 * 10 AS x, {_BASE} AS base FROM spans), q AS (SELECT *, x - min(x) OVER (PARTITION BY book, page_num) AS ind, count(*) OVER (PARTITION BY book, page_num) AS n FROM r)
 SELECT {L_SQL}, CASE WHEN n < 3 THEN base ELSE greatest(base, CASE WHEN ind < 5 THEN 1 WHEN ind < 25 THEN 2 ELSE 3 END) END AS level FROM q"""
 )
 
@@ -208,19 +251,19 @@ QUERIES = {
     "flt_page_header": (header, HEADER_SQL),
     "flt_page_footer": (footer, W + rf" SELECT {L_SQL}, y0 >= 108.0 AND (line_idx % 4 = 1 AND page_num < 10000 OR line_idx % 4 <> 1 AND regexp_matches(text, '^\s*\d{{1,4}}\s*$')) AS v FROM spans"),
     "flt_valid_table": (tables, TABLES_SQL),
-    "flt_progress_line": cases(T.progress_line, LOG, (True, False, False, False, True, False, True, False)),
-    "flt_function_words": cases(lambda c: T.function_words(c) >= 2, LEVELS, (False, False, False, False, False, False, False, True)),
-    "flt_toc_line": cases(T.toc_line, TOC, (True, True, True, False, False)),
+    "flt_progress_line": computed(T.progress_line, LOG, f"{_strip('t')} <> '' AND NOT regexp_matches({_strip('t')}, {_plain(T.NOISE)}) AND {_any('t', T.PROGRESS)}"),
+    "flt_function_words": computed(lambda c: T.function_words(c) >= 2, LEVELS, f"length(regexp_replace(t, '[^{T.FUNCTION_WORDS}]', '', 'g')) >= 2"),
+    "flt_toc_line": computed(T.toc_line, TOC, r"regexp_matches(t, '[…·.]{2,}\s*\d+|\t\s*\d+\s*$') OR (regexp_matches(t, '^第[一二三四五六七八九十百]+[章節条條篇卷]') AND regexp_matches(t, '\d+\s*$'))", by=_OR_LINE),
     "agg_page_margins": (margins, MARGINS_SQL),
     "agg_primary_font": (primary_font, W + " SELECT book, page_num, arg_min(font_family || ' (' || CAST(round_even(font_size * 2, 0) / 2 AS VARCHAR) || 'pt)', (-length(trim(text)), line_idx)) AS font_key FROM spans WHERE length(trim(text)) > 0 GROUP BY book, page_num"),
     "join_largest_file": (largest, "SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS best FROM orders GROUP BY o_custkey"),
     "join_patch": (patched, PATCHED_SQL),
-    "scl_font_tag": cases(T.font_tag, NAMES, ("kaiti", "fangsong", "songti", "heiti", "other", None, None)),
-    "scl_restore_symbols": cases(T.restored_symbols, SYMBOLS, ("（一）开始", "①外感", "⑳寒", "3～5天", "", "12 apples", "**（二）组方**")),
-    "scl_split_circled": cases(T.split_circled, ("①甲 ②乙", "甲③", "x"), (None, None, "x")),
-    "scl_boundary_tags": cases(T.without_boundary_tags, TAGS, ("", "甲", "", "plain")),
-    "scl_is_boundary_tag": cases(T.boundary_tag, TAGS, (True, False, True, False)),
-    "scl_model_answer": cases(T.without_think, THINK, ("b", "", "{}", "x")),
+    "scl_font_tag": computed(T.font_tag, NAMES, _tag("t"), by=_OF_BOOK),
+    "scl_restore_symbols": computed(T.restored_symbols, SYMBOLS, _restored("t")),
+    "scl_split_circled": computed(T.split_circled, ("①甲 ②乙", "甲③", "x"), r"regexp_replace(t, '([^\n])\s*([①②③④⑤⑥⑦⑧⑨⑩])', '\1' || chr(10) || '\2', 'g')"),
+    "scl_boundary_tags": computed(T.without_boundary_tags, TAGS, _strip(_replaced("t", T.BOUNDARY_TAGS)), by=_OR_LINE),
+    "scl_is_boundary_tag": computed(T.boundary_tag, TAGS, f"{_strip('t')} IN ({', '.join(repr(x) for x in T.BOUNDARY_TAGS)})", by=_OR_LINE),
+    "scl_model_answer": computed(T.without_think, THINK, _ANSWER, by=_OR_LINE),
     "scl_toc_level": (indents, INDENT_SQL),
     "seq_toc_pages": (toc_pages, W + ", t AS (SELECT DISTINCT book, page_num FROM spans WHERE line_idx = 0), s AS (SELECT book, min(page_num) AS first FROM t WHERE page_num % 40 IN (7, 9) GROUP BY book), r AS (SELECT book, page_num, first, min(CASE WHEN page_num = first OR page_num % 3 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY page_num) AS ok FROM t JOIN s USING (book) WHERE page_num >= first) SELECT book, first, max(page_num) AS last FROM r WHERE ok = 1 GROUP BY book, first"),
     "seq_retention": (retention, H + r", n AS (SELECT *, sum(CASE WHEN level BETWEEN 1 AND 2 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS sec FROM sections), g AS (SELECT page_id, sec, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS c FROM n GROUP BY page_id, sec), k AS (SELECT page_id, length(regexp_replace(c, '[\s#:\-{}\[\]()=]+', '', 'g')) AS n FROM g) SELECT page_id, sum(least(n, 500))::DOUBLE / sum(n) AS rate, sum(least(n, 500))::DOUBLE / sum(n) >= 0.90 AS passed FROM k GROUP BY page_id"),
@@ -229,4 +272,3 @@ QUERIES = {
     "udx_preflight": (preflight, "WITH c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (length(text) % 7 = 0) AS o, max(turn) AS l FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN o > 0 THEN 'FAIL' WHEN n <> l + 1 OR n % 2 = 1 THEN 'WARNING' ELSE 'PASS' END AS status FROM c"),
     "win_list_specs": (specs, "SELECT * FROM (VALUES ('founder', 'tool', 20), ('images', 'tool', 30), ('formula', 'image', 40), ('pod', 'document', 50), ('layout', 'document', 60)) AS v(name, category, spec_order)"),
 }
-QUERIES["scl_split_circled"] = (QUERIES["scl_split_circled"][0], f"{W} SELECT {L_SQL}, CASE CAST(line_idx AS BIGINT) % 3 WHEN 0 THEN '①甲' || chr(10) || '②乙' WHEN 1 THEN '甲' || chr(10) || '③' ELSE 'x' END AS v FROM spans")

@@ -132,6 +132,46 @@ def few_chars_whole(spark, d):
     return table(spark, d, "documents").select("doc_id", T.few_distinct(F.col("text")).alias("v"))
 
 
+LABELS = (" PageFooter", "list-item", "Section-Header ", "", "Table", "SECTIONHEADER", "textinlinemath", "Text")
+
+
+def labels(spark, d):
+    """Labels of layout models, some with a book's name in them."""
+    pick = F.element_at(F.array(*map(F.lit, LABELS)), (F.col("line_idx") % len(LABELS) + 1).cast("int"))
+    label = F.concat(pick, F.when(F.col("page_num") % 3 == 0, F.col("book")).otherwise(""))
+    return spans(spark, d).select(*LINE, T.layout_label(label).alias("v"))
+
+
+_QUOTED = ", ".join(f"'{x}'" for x in LABELS)
+LABELS_SQL = f"""{W}, r AS (SELECT *, trim(lower(list_extract([{_QUOTED}], CAST(line_idx % {len(LABELS)} + 1 AS BIGINT)) || CASE WHEN page_num % 3 = 0 THEN book ELSE '' END)) AS n FROM spans)
+SELECT book, page_num, CAST(line_idx AS INTEGER) AS line_idx, CASE WHEN n = '' OR n IN ({', '.join(f"'{x}'" for x in T.PAGE_LABELS_AS_TEXT)}) THEN 'text' WHEN n IN ('sectionheader', 'section-header') THEN 'section-header' ELSE n END AS v FROM r"""
+
+_M = STRIP.format("t")
+MARKER_TYPE_SQL = rf"""CASE WHEN {_M} = '' THEN 'empty' WHEN regexp_matches({_M}, '^[①-⓿➀-➓㉑-㉟]') THEN 'circled' WHEN regexp_matches({_M}, '^[\[［〔【]') THEN 'bracket' WHEN regexp_matches({_M}, '^[⁰¹²³⁴⁵⁶⁷⁸⁹]') THEN 'superscript'
+ WHEN starts_with({_M}, '注') THEN 'zhu' WHEN regexp_matches({_M}, '^[(（]') THEN 'paren' WHEN regexp_matches({_M}, '^[a-jA-J]') THEN 'alpha' ELSE 'dot' END"""
+_K = "(CASE WHEN line_idx % 2 = 0 THEN s ELSE t END)"
+MARKER_NUMBER_SQL = rf"""CASE WHEN regexp_matches({_K}, '^[①-⑳]$') THEN unicode({_K}) - 9311 WHEN regexp_matches({_K}, '[⁰¹²³⁴⁵⁶⁷⁸⁹]') THEN TRY_CAST(translate(regexp_replace({_K}, '[^⁰¹²³⁴⁵⁶⁷⁸⁹]', '', 'g'), '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789') AS INTEGER)
+ WHEN regexp_matches({_K}, '[a-zA-Z]') THEN unicode(lower(regexp_extract({_K}, '[a-zA-Z]'))) - 96 WHEN regexp_matches({_K}, '\d') THEN TRY_CAST(regexp_extract({_K}, '\d+') AS INTEGER) ELSE 1 END"""
+CAPTION_TYPE_SQL = rf"CASE WHEN regexp_matches({_M}, '(?i)^(?:表|table)\s*[\d\-.]+') THEN 'table' WHEN regexp_matches({_M}, '(?i)^(?:图|圖|figure)\s*[\d\-.]+') THEN 'figure' END"
+
+
+def numerals(spark, d):
+    """Numbers of pages written in digits, as CJK digits one by one, and with tens and hundreds, read back."""
+    n = (F.col("page_num") % 999 + 1).cast("int")
+    digit = lambda x: F.substring(F.lit("零一二三四五六七八九"), x + 1, F.lit(1))
+    h, t, u = F.floor(n / 100), F.floor(n / 10) % 10, n % 10
+    tens = F.when(t > 0, F.concat(digit(t), F.lit("十"))).when((h > 0) & (u > 0), "零").otherwise("")
+    formal = F.concat(F.when(h > 0, F.concat(digit(h), F.lit("百"))).otherwise(""), tens, F.when(u > 0, digit(u)).otherwise(""))
+    one_by_one = F.translate(n.cast("string"), "0123456789", "〇一二三四五六七八九")
+    written = F.when(F.col("line_idx") % 3 == 0, n.cast("string")).when(F.col("line_idx") % 3 == 1, one_by_one).otherwise(formal)
+    text = F.when(F.col("line_idx") % 5 == 4, F.concat("text", written)).otherwise(F.concat(F.lit(" 第"), written, F.lit("页")))
+    return spans(spark, d).select(*LINE, T.numeral(text).alias("v"))
+
+
+#: What was written is read back; a line of text is no number.
+NUMERALS_SQL = W + " SELECT book, page_num, CAST(line_idx AS INTEGER) AS line_idx, CAST(CASE WHEN line_idx % 5 < 4 OR text = '' THEN page_num % 999 + 1 END AS INTEGER) AS v FROM spans"
+
+
 def circled(spark, d):
     return seeded(spark, d).select(*LINE, T.circled_number((F.col("page_num") % 60).cast("int")).alias("v"))
 
@@ -150,10 +190,10 @@ QUERIES = {
     "flt_few_distinct_characters": (few_chars, "SELECT doc_id, length(x) > 15 AND len(list_distinct(string_split(x, ''))) / length(x) < 0.15 AS v FROM (SELECT doc_id, substr(text, 1, 200) AS x FROM documents)"),
     "flt_few_distinct_characters_whole": (few_chars_whole, None),
     "flt_non_prose_item": (_line(lambda: T.non_prose(t(), F.when(F.col("line_idx") % 13 == 0, "Figure").otherwise("text"))), _sql("length(t) = 0 OR line_idx % 13 = 0 OR starts_with(t, '#') OR starts_with(t, '![') OR starts_with(t, '>') OR starts_with(t, '|') OR starts_with(t, '[^')")),
-    "scl_layout_label": (_line(lambda: T.layout_label(F.element_at(F.array(*map(F.lit, (" PageFooter", "list-item", "Section-Header ", "", "Table"))), (F.col("line_idx") % 5 + 1).cast("int")))), _sql("CASE line_idx % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'text' WHEN 2 THEN 'section-header' WHEN 3 THEN 'text' ELSE 'table' END")),
-    "scl_marker_type": (_line(lambda: T.marker_type(s())), _sql("CASE line_idx % 20 WHEN 0 THEN 'empty' WHEN 2 THEN 'circled' WHEN 3 THEN 'paren' WHEN 5 THEN 'bracket' WHEN 9 THEN 'superscript' WHEN 10 THEN 'alpha' WHEN 16 THEN 'zhu' ELSE 'dot' END")),
-    "scl_marker_number": (_line(lambda: T.marker_number(s())), _sql("CAST(CASE line_idx % 20 WHEN 4 THEN 3 WHEN 5 THEN 13 WHEN 6 THEN 12 WHEN 9 THEN 12 WHEN 10 THEN 2 WHEN 11 THEN 4 WHEN 16 THEN 1 ELSE 1 END AS INTEGER)")),
-    "scl_numeral": (_line(lambda: T.numeral(s())), _sql("CAST(CASE line_idx % 20 WHEN 6 THEN 12 WHEN 7 THEN 25 WHEN 8 THEN 103 WHEN 18 THEN 10 WHEN 19 THEN 5 END AS INTEGER)")),
+    "scl_layout_label": (labels, LABELS_SQL),
+    "scl_marker_type": (_line(lambda: T.marker_type(t())), _sql(MARKER_TYPE_SQL)),
+    "scl_marker_number": (_line(lambda: T.marker_number(F.when(F.col("line_idx") % 2 == 0, s()).otherwise(t()))), _sql(MARKER_NUMBER_SQL)),
+    "scl_numeral": (numerals, NUMERALS_SQL),
     "scl_circled_number": (circled, W + " SELECT book, page_num, CAST(line_idx AS INTEGER) AS line_idx, CASE WHEN n BETWEEN 1 AND 20 THEN chr(CAST(9311 + n AS INTEGER)) WHEN n BETWEEN 21 AND 35 THEN chr(CAST(12860 + n AS INTEGER)) WHEN n BETWEEN 36 AND 50 THEN chr(CAST(12941 + n AS INTEGER)) ELSE '(' || n || ')' END AS v FROM (SELECT *, page_num % 60 AS n FROM spans)"),
     "scl_kaiti_font": (_line(lambda: T.kaiti_font(F.col("font_family"))), _sql("font_family = 'KaiTi'")),
     "scl_title_font": (_line(lambda: T.title_font(F.col("font_family"))), _sql("font_family = 'SimHei'")),
@@ -162,7 +202,7 @@ QUERIES = {
     "scl_skeleton": (_line(lambda: T.skeleton(F.concat(F.lit('::: {custom-style="Q"}\n'), t(), F.lit("![x](y.png){width=1}\n:::")))), _sql(r"regexp_replace(t, '[^\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}A-Za-z0-9]', '', 'g')")),
     "scl_redact": (_line(lambda: T.redact(F.concat(F.lit("at /usr/lib/x/y.py 'q' "), t()), 60)), None),
     "scl_katex_fence": (_line(lambda: T.katex_fence(s(), F.col("line_idx") % 2 == 0)), _sql("CASE WHEN trim(s) = '' THEN '' WHEN line_idx % 2 = 0 THEN '$$' || chr(10) || trim(s) || chr(10) || '$$' ELSE '$' || trim(s) || '$' END")),
-    "scl_caption_type": (_line(lambda: T.caption_type(t())), _sql("CASE line_idx % 20 WHEN 4 THEN 'table' WHEN 11 THEN 'figure' END")),
+    "scl_caption_type": (_line(lambda: T.caption_type(t())), _sql(CAPTION_TYPE_SQL)),
     "scl_short_hash": (_line(lambda: T.short_hash(t())), _sql("substr(sha256(t), 1, 16)")),
     "scl_pipe_table": (_line(lambda: T.to_pipe_table(F.concat(F.lit("a  b  c\n"), F.substring("text", 1, 5), F.lit("\tz")))), None),
     "scl_image_width": (_line(lambda: T.sized_images(F.concat(F.lit("![__p__](a.png) "), F.substring("text", 1, 10), F.lit(" ![b](c.png){width=1}")))), _sql("'![](a.png){width=60%} ' || substr(text, 1, 10) || ' ![b](c.png){width=1}'")),
