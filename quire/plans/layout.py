@@ -122,8 +122,24 @@ HEADS = ("第三章 总论", "1.2 方法", "3.4.5 细节", "Chapter 4 Begin", "
 
 
 def regex_levels(spark, d):
+    """Levels by wording of lines after a heading's beginning; every other page has the beginning alone."""
     pick = F.element_at(F.array(*map(F.lit, HEADS)), (F.col("line_idx") % len(HEADS) + 1).cast("int"))
-    return spans(spark, d).select(*PAGE, "line_idx", L.regex_heading_level(pick).alias("level"))
+    text = F.concat(pick, F.when(F.col("page_num") % 2 == 0, "").otherwise(F.concat(F.lit(" "), "text")))
+    return spans(spark, d).select(*PAGE, "line_idx", L.regex_heading_level(text).alias("level"))
+
+
+def _plain(pattern):
+    """A pattern for SQL, without the flag of Unicode classes, which means another thing there."""
+    return "'" + pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''") + "'"
+
+
+LEVELS_SQL = (
+    W
+    + rf""", r AS (SELECT *, list_extract([{', '.join(f"'{x}'" for x in HEADS)}], CAST(line_idx % {len(HEADS)} + 1 AS BIGINT)) || CASE WHEN page_num % 2 = 0 THEN '' ELSE ' ' || text END AS t FROM spans)
+SELECT book, page_num, CAST(line_idx AS INTEGER) AS line_idx, CASE WHEN regexp_matches(t, {_plain(L.PART_HEADING)}) THEN 1 WHEN regexp_matches(t, {_plain(L.CHAPTER_HEADING)}) OR regexp_matches(t, {_plain(L.SECTION_HEADING)}) THEN 2
+ WHEN regexp_matches(t, {_plain(L.SENTENCE)}) THEN 0 WHEN regexp_matches(t, {_plain(L.TRIPLE_DECIMAL)}) THEN 3 WHEN regexp_matches(t, {_plain(L.DECIMAL)}) THEN 2 WHEN regexp_matches(t, {_plain(L.ENUMERATED)}) THEN 3
+ WHEN regexp_matches(t, {_plain(L.PARENTHESISED)}) AND length(regexp_replace(t, '[①-⑳\s]', '', 'g')) BETWEEN 2 AND 30 THEN 3 ELSE 0 END AS level FROM r"""
+)
 
 
 def folio(spark, d):
@@ -372,7 +388,7 @@ QUERIES = {
     "agg_font_census": (census, W + " SELECT font_family, round_even(font_size * 2, 0) / 2 AS size, count(*) AS n_spans, count(DISTINCT (book, page_num)) AS n_pages, CAST(sum(length(text)) AS BIGINT) AS n_chars, count(*) FILTER (y1 <= 50)::DOUBLE / count(*) AS top_ratio, count(*) FILTER (y0 >= 350)::DOUBLE / count(*) AS bottom_ratio FROM spans GROUP BY ALL"),
     "win_span_duplicates": (duplicates, W + " SELECT book, page_num, CAST(line_idx AS INTEGER) AS line_idx, text FROM (SELECT *, row_number() OVER (PARTITION BY book, page_num, x0, floor(y0 / 200), text ORDER BY line_idx) AS r FROM spans) WHERE r = 1 AND text <> ''"),
     "seq_heading_gate": (heading_roles, ROLES_SQL),
-    "seq_regex_heading_level": (regex_levels, W + " SELECT book, page_num, CAST(line_idx AS INTEGER) AS line_idx, CASE line_idx % 8 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 1 WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 0 END AS level FROM spans"),
+    "seq_regex_heading_level": (regex_levels, LEVELS_SQL),
     "win_folio_sequence": (folio, FOLIO_SQL),
     "seq_toc_entries": (toc, TOC_SQL),
     "join_font_lookup": (font_lookup, FONT_SQL),

@@ -111,13 +111,30 @@ def joined(spark, d):
     return rows.select("book", "page_num", F.sha2(folds.joined_lines(F.transform("items", lambda x: x["text"])), 256).alias("joined"))
 
 
+_TIGHT = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{3000}-\x{303f}！-｠￠-￮‘-‟]"
+JOINED_SQL = (
+    W
+    + rf""", r AS (SELECT book, page_num, line_idx, trim(CASE WHEN line_idx % 5 = 2 THEN '連' ELSE '' END || text || CASE WHEN line_idx % 4 = 1 THEN '-' ELSE '' END) AS x FROM spans),
+g AS (SELECT book, page_num, list_prepend('', coalesce(list(x ORDER BY line_idx) FILTER (x <> ''), [])) AS l FROM r GROUP BY book, page_num)
+SELECT book, page_num, sha256(list_reduce(l, lambda a, x: CASE WHEN a = '' THEN x WHEN regexp_matches(a, '{_TIGHT}$') OR regexp_matches(x, '^{_TIGHT}') OR ends_with(a, '-') THEN a || x ELSE a || ' ' || x END)) AS joined FROM g"""
+)
+REDACTED_SQL = r"""substr(trim(regexp_replace(regexp_replace('at /usr/lib/x/y.py ''q'' ' || t, '(?:[A-Za-z]:)?[\\/](?:[^\s\\/:]+[\\/])+[^\s\\/:]*', '<path>', 'g'), '["''\r\n]+', ' ', 'g')), 1, 60)"""
+
+
 def brackets(spark, d):
     """Brackets left open in lines with some put in."""
     seed = F.element_at(F.array(*(F.lit(x) for x in ("（a【b】", "（【）", "（《【》", "）」", "「『』", "[({", "a"))), (F.col("line_idx") % 7 + 1).cast("int"))
     return spans(spark, d).select(*LINE, F.array_join(folds.open_brackets(F.concat(seed, "text")), "").alias("open"))
 
 
-BRACKETS_SQL = f"{W} SELECT book, page_num, CAST(line_idx AS INTEGER) AS line_idx, CASE line_idx % 7 WHEN 0 THEN '（' WHEN 1 THEN '' WHEN 2 THEN '（' WHEN 3 THEN '' WHEN 4 THEN '「' WHEN 5 THEN '[({{' ELSE '' END AS open FROM spans"
+_SEEDS = "['（a【b】', '（【）', '（《【》', '）」', '「『』', '[({', 'a']"
+_OPENER = f"translate(ch, '{folds.CLOSE}', '{folds.OPEN}')"
+BRACKETS_SQL = (
+    W
+    + rf""", r AS (SELECT book, page_num, CAST(line_idx AS INTEGER) AS line_idx, regexp_replace(list_extract({_SEEDS}, CAST(line_idx % 7 + 1 AS BIGINT)) || text, '[^（(《〈“‘【\[「『{{）)》〉”’】\]」』}}]', '', 'g') AS m FROM spans)
+SELECT book, page_num, line_idx, list_reduce(list_prepend('', string_split(m, '')), lambda a, ch: CASE WHEN ch = '' THEN a WHEN NOT contains('{folds.CLOSE}', ch) THEN a || ch
+ WHEN contains(a, {_OPENER}) THEN substr(a, 1, length(a) - strpos(reverse(a), {_OPENER})) ELSE a END) AS open FROM r"""
+)
 
 
 def hallucinations(spark, d):
@@ -188,7 +205,7 @@ QUERIES = {
     "flt_continuing_punctuation": (_line(lambda: T.continuing_punctuation(t())), _sql(rf"regexp_matches({STRIP.format('t')}, '[，、：:,]$')")),
     "flt_hallucination": (hallucinations, None),
     "flt_few_distinct_characters": (few_chars, "SELECT doc_id, length(x) > 15 AND len(list_distinct(string_split(x, ''))) / length(x) < 0.15 AS v FROM (SELECT doc_id, substr(text, 1, 200) AS x FROM documents)"),
-    "flt_few_distinct_characters_whole": (few_chars_whole, None),
+    "flt_few_distinct_characters_whole": (few_chars_whole, "SELECT doc_id, length(text) > 15 AND len(list_distinct(string_split(text, ''))) / length(text) < 0.15 AS v FROM documents"),
     "flt_non_prose_item": (_line(lambda: T.non_prose(t(), F.when(F.col("line_idx") % 13 == 0, "Figure").otherwise("text"))), _sql("length(t) = 0 OR line_idx % 13 = 0 OR starts_with(t, '#') OR starts_with(t, '![') OR starts_with(t, '>') OR starts_with(t, '|') OR starts_with(t, '[^')")),
     "scl_layout_label": (labels, LABELS_SQL),
     "scl_marker_type": (_line(lambda: T.marker_type(t())), _sql(MARKER_TYPE_SQL)),
@@ -200,11 +217,11 @@ QUERIES = {
     "scl_normal_title": (_line(lambda: T.normal_title(t())), _sql(r"translate(regexp_replace(t, '[\s　①-⑳]+', '', 'g'), '０１２３４５６７８９．：', '0123456789.:')")),
     "scl_char_jaccard": (similar_titles, W + f", g AS (SELECT book, page_num, max(CASE WHEN line_idx = 0 THEN text END) AS a, max(CASE WHEN line_idx = 1 THEN text END) AS b FROM spans WHERE line_idx < 2 GROUP BY book, page_num) SELECT book, page_num, CASE WHEN a = '' OR b = '' THEN 0.0 ELSE len(list_intersect({CHARS.format('a')}, {CHARS.format('b')})) / len(list_distinct(list_concat({CHARS.format('a')}, {CHARS.format('b')}))) END AS sim FROM g WHERE b IS NOT NULL"),
     "scl_skeleton": (_line(lambda: T.skeleton(F.concat(F.lit('::: {custom-style="Q"}\n'), t(), F.lit("![x](y.png){width=1}\n:::")))), _sql(r"regexp_replace(t, '[^\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}A-Za-z0-9]', '', 'g')")),
-    "scl_redact": (_line(lambda: T.redact(F.concat(F.lit("at /usr/lib/x/y.py 'q' "), t()), 60)), None),
+    "scl_redact": (_line(lambda: T.redact(F.concat(F.lit("at /usr/lib/x/y.py 'q' "), t()), 60)), _sql(REDACTED_SQL)),
     "scl_katex_fence": (_line(lambda: T.katex_fence(s(), F.col("line_idx") % 2 == 0)), _sql("CASE WHEN trim(s) = '' THEN '' WHEN line_idx % 2 = 0 THEN '$$' || chr(10) || trim(s) || chr(10) || '$$' ELSE '$' || trim(s) || '$' END")),
     "scl_caption_type": (_line(lambda: T.caption_type(t())), _sql(CAPTION_TYPE_SQL)),
     "scl_short_hash": (_line(lambda: T.short_hash(t())), _sql("substr(sha256(t), 1, 16)")),
-    "scl_pipe_table": (_line(lambda: T.to_pipe_table(F.concat(F.lit("a  b  c\n"), F.substring("text", 1, 5), F.lit("\tz")))), None),
+    "scl_pipe_table": (_line(lambda: T.to_pipe_table(F.concat(F.lit("a  b  c\n"), "text", F.lit("\tz")))), None),
     "scl_image_width": (_line(lambda: T.sized_images(F.concat(F.lit("![__p__](a.png) "), F.substring("text", 1, 10), F.lit(" ![b](c.png){width=1}")))), _sql("'![](a.png){width=60%} ' || substr(text, 1, 10) || ' ![b](c.png){width=1}'")),
     "scl_payload_extract": (payload, "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(NULL AS VARCHAR) AS missing FROM events"),
     "scl_suspicious_chars": (suspicious, SUSPICIOUS_SQL),
@@ -213,6 +230,6 @@ QUERIES = {
     "src_char_boxes": (char_boxes, W + ", c AS (SELECT *, unnest(range(0, length(text))) AS pos FROM spans WHERE line_idx = 0) SELECT book, page_num, CAST(pos AS INTEGER) AS pos, substr(text, pos + 1, 1) AS ch, x0 + (x1 - x0) / length(text) * pos AS cx0, x0 + (x1 - x0) / length(text) * (pos + 1) AS cx1 FROM c"),
     "agg_dictionary_corrections": (corrections, W + " SELECT book, page_num, CAST(line_idx AS INTEGER) AS line_idx, replace(replace(replace(text, 'the', 'teh'), 'teh ', 'the '), 'ing', 'in') AS fixed, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS INTEGER) AS n_first FROM spans"),
     "seq_poetry_rhythm": (poetry, POETRY_SQL),
-    "seq_join_lines": (joined, None),
+    "seq_join_lines": (joined, JOINED_SQL),
     "seq_open_brackets": (brackets, BRACKETS_SQL),
 }
