@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import rules as R, text as T
-from ..operators import stitching
+from ..operators import footnotes, stitching
 from ..sources import config
 from ..sources.tables import BOXES_SQL, PAGE_WIDTH, SPANS_SQL, boxes, spans, table
 
@@ -394,6 +394,21 @@ SYMBOLS_SQL = """SELECT 'circled_numbers' AS kind, CAST(i AS VARCHAR) AS symbol,
 UNION ALL SELECT 'chinese_numerals', substr('一二三四五六七八九十', CAST(i AS BIGINT), 1), '（' || substr('一二三四五六七八九十', CAST(i AS BIGINT), 1) || '）' FROM range(1, 11) AS r(i)
 UNION ALL SELECT 'numeric_range_tilde', '~', '～'"""
 
+def linked(spark, d):
+    """Footnote marks in pages: each page's text carries some marks of its notes, in brackets, circled or not at all."""
+    docs = table(spark, d, "documents").select(c("source").alias("book"), (c("doc_id") + 1).alias("page_num"), "text")
+    tail = F.expr("array_join(transform(sequence(1, 3), i -> concat('。', CASE (page_num + i) % 4 WHEN 0 THEN concat('[', i, ']') WHEN 1 THEN substr('①②③', i, 1) WHEN 2 THEN concat('【', i, '】') ELSE '' END)), '')")
+    pages = docs.withColumn("text", F.concat(c("text"), tail))
+    notes = docs.select("book", "page_num", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("id"))
+    notes = notes.select("book", "page_num", "id", c("id").alias("seq"), F.when(c("id") == 2, "②").otherwise("※").alias("mark"))
+    out = footnotes.linked(pages, notes, ["book"])
+    return out.select("book", "page_num", F.sha2("text", 256).alias("digest"), "n_notes", "n_matched")
+
+
+_TAGS = " || ".join(f"'。' || CASE WHEN (page_num + {i}) % 4 < 3 THEN '[^p' || page_num || '_{i}]' ELSE '' END" for i in (1, 2, 3))
+LINKED_SQL = f"""WITH p AS (SELECT source AS book, doc_id + 1 AS page_num, text FROM documents)
+SELECT book, page_num, sha256(text || {_TAGS}) AS digest, 3 AS n_notes, CAST({" + ".join(f"CASE WHEN (page_num + {i}) % 4 < 3 THEN 1 ELSE 0 END" for i in (1, 2, 3))} AS INTEGER) AS n_matched FROM p"""
+
 QUERIES = {
     "flt_after_citation": (after_citation, AFTER_SQL),
     "flt_continues_citation": (continuation, CONTINUATION_SQL),
@@ -415,6 +430,7 @@ QUERIES = {
     "join_boundary_reviews": (boundary_reviews, BOUNDARY_SQL),
     "join_font_suggestions": (font_suggestions, SUGGESTION_SQL),
     "join_style_rules": (style_rules, RULES_SQL),
+    "join_footnote_marks": (linked, LINKED_SQL),
     "src_font_roles": (fonts_json, FONTS_SQL),
     "src_symbol_map": (symbols, SYMBOLS_SQL),
 }

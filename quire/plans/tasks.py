@@ -53,6 +53,23 @@ def cancelled(spark, d):
     return K.cancelled(K.state(tasks(spark, d)), asked).select("task_id", "status")
 
 
+def enqueued(spark, d):
+    log = tasks(spark, d).select("task_id", "ts", "event_id", "status")
+    return K.enqueued(log.filter("event_id % 2 = 0"), log.filter("event_id % 2 = 1 and status = 'queued'"))
+
+
+def feed(spark, d):
+    return K.feed(tasks(spark, d)).select("task_id", "number", "event_id", "status")
+
+
+def queues(spark, d):
+    """Queues of 20 events of subscribers to single tasks, and of two who hear all."""
+    log = tasks(spark, d)
+    own = log.select("task_id").distinct().filter("task_id % 2 = 0").select(F.col("task_id").alias("subscriber"), "task_id")
+    every = spark.range(2).select((-F.col("id") - 1).alias("subscriber"), F.lit(None).cast(dict(own.dtypes)["task_id"]).alias("task_id"))
+    return K.subscriber_queues(log, own.unionByName(every), 20)
+
+
 def janitor(spark, d):
     """Files (events) older than a day that are neither protected by kind nor in use by a running task."""
     files = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
@@ -81,6 +98,9 @@ def stream(spark, d):
 
 
 QUERIES = {
+    "str_enqueue": (enqueued, W + " SELECT task_id, ts, event_id, status FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, event_id DESC) AS r FROM tasks WHERE event_id % 2 = 0 OR status = 'queued') WHERE r = 1"),
+    "str_event_feed": (feed, W + ", f AS (SELECT *, row_number() OVER w AS number, min(CASE WHEN status IN ('completed', 'failed', 'cancelled') THEN (ts, event_id) END) OVER (PARTITION BY task_id) AS stop FROM tasks WINDOW w AS (PARTITION BY task_id ORDER BY ts, event_id)) SELECT task_id, CAST(number AS INTEGER) AS number, event_id, status FROM f WHERE stop IS NULL OR (ts, event_id) <= stop"),
+    "str_subscriber_queues": (queues, W + ", o AS (SELECT task_id AS subscriber, event_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts DESC, event_id DESC) AS r FROM tasks WHERE task_id % 2 = 0) WHERE r <= 20), e AS (SELECT event_id FROM tasks ORDER BY ts DESC, event_id DESC LIMIT 20) SELECT * FROM o UNION ALL SELECT s, event_id FROM e, (VALUES (-1), (-2)) AS v(s)"),
     "str_task_state": (latest, STATE + " SELECT * FROM state"),
     "str_recover": (recovered, STATE + " SELECT task_id, CASE WHEN status IN ('queued', 'running') THEN 'failed' ELSE status END AS status FROM state"),
     "win_list_tasks": (topk, STATE + " SELECT task_id, status, created_at FROM state WHERE status = 'completed' ORDER BY created_at DESC, task_id LIMIT 50"),

@@ -95,3 +95,37 @@ def test_settings_files(spark, tmp_path):
     assert got == {"h1": "Heading 1", "kaiti": "KaiTi"}
     files = spark.createDataFrame([("x", "{"), ("y", None), ("z", '{"F": {"role": "H1"}, "G": "s"}')], "book string, json string")
     assert [(r.book, r.font) for r in config.font_roles(files, "json").collect()] == [("z", "F")]
+
+
+@pytest.mark.parametrize(
+    "text,mark,number,want",
+    [
+        ("正文①继续。", "①", 1, "正文T继续。"), ("正文[2]继续。", "※", 2, "正文T继续。"), ("见第 3. 页，又3. 文", "3.", None, "见第 3. 页，又T 文"), ("他说a。", "a", 1, "他说T。"), ("Latin a b", "a", 1, "Latin a b"),
+        ("他说C。", "", 3, "他说T。"), ("没有", "", None, "没有"), ("", "①", 1, ""),
+    ],
+)
+def test_replace_mark(text, mark, number, want):
+    from quire.operators.footnotes import replace_mark
+
+    assert replace_mark(text, mark, number, "T") == (want, "T" in want)
+
+
+def test_linked_footnotes(spark):
+    from quire.operators.footnotes import linked
+
+    pages = spark.createDataFrame([("b", 1, "甲①乙②。"), ("b", 2, None), ("b", 3, "无注")], "book string, page_num int, text string")
+    notes = spark.createDataFrame([("b", 1, 2, 2, "②"), ("b", 1, 1, 1, "①"), ("b", 1, 3, 3, "③"), ("b", 2, 1, 1, None), ("b", 2, 2, None, None)], "book string, page_num int, seq int, id int, mark string")
+    got = {r.page_num: (r.text, r.n_notes, r.n_matched) for r in linked(pages, notes, ["book"]).collect()}
+    assert got == {1: ("甲[^p1_1]乙[^p1_2]。", 3, 2), 2: ("", 2, 0), 3: ("无注", 0, 0)}
+
+
+def test_task_feed_and_queues(spark):
+    from quire.operators import tasks as K
+
+    rows = [(1, 1, 1, "queued"), (1, 2, 2, "running"), (1, 3, 3, "completed"), (1, 4, 4, "running"), (2, 1, 5, "queued")]
+    log = spark.createDataFrame(rows, "task_id int, ts int, event_id int, status string")
+    assert sorted((r.task_id, r.number, r.event_id) for r in K.feed(log).collect()) == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 5)]
+    who = spark.createDataFrame([("x", 1), ("y", None), ("z", 9)], "subscriber string, task_id int")
+    assert sorted(tuple(r) for r in K.subscriber_queues(log, who, 2).collect()) == [("x", 3), ("x", 4), ("y", 3), ("y", 4)]
+    assert sorted((r.task_id, r.event_id) for r in K.enqueued(log.limit(2), log.filter("event_id = 5")).collect()) == [(1, 2), (2, 5)]
+    assert K.feed(log.limit(0)).count() == 0
