@@ -79,7 +79,7 @@ def first_rule(text: Column, rules: list[dict], default: str = "Normal") -> Colu
 def traffic_light(raw: Column, processed: Column, styles: Column, allowed: tuple[str, ...], badges: tuple[str, ...] = ()) -> Column:
     """GREEN if the skeleton is kept and styles are known; RED for an unknown style or a shorter skeleton; else YELLOW.
 
-    The full difference report (which fragments) is quire.operators.diff.
+    The full difference report (which fragments) is quire.operators.documents.audited.
     """
     a, b = skeleton(raw, badges), skeleton(processed, badges)
     alien = F.size(F.array_except(styles, F.array(*(F.lit(s) for s in (*allowed, "Normal", "Table Caption", "Caption"))))) > 0
