@@ -312,6 +312,29 @@ def test_line_dedup_recall(spark, n_words):
     assert not any(g and not s for s, g in zip(similar, gone))
 
 
+def test_edit_links(spark):
+    """The cheap bounds settle pairs as the distance itself does."""
+    from quire.llm.line_dedup import edit_links
+
+    r = random.Random(5)
+    lines = set()
+    for _ in range(150):
+        a = ["".join(r.choice("abcd") for _ in range(r.randrange(1, 6))) for _ in range(r.choice([1, 2, 3, 6, 12]))]
+        lines.add(" ".join(a))
+        for _ in range(4):
+            b = list(a)
+            for _ in range(r.choice([1, 1, 2])):
+                i = r.randrange(len(b)) if b else 0
+                b[i : i + 1] = r.choice([["cab"], [], [*b[i : i + 1], "dad"], [x[:-1] + "z" for x in b[i : i + 1]]])
+            lines.add(" ".join(b))
+    lines = sorted(lines - {""})
+    texts = spark.createDataFrame(list(enumerate(lines)), "lid long, norm string")
+    pairs = spark.createDataFrame([(i, j) for i in range(len(lines)) for j in range(i + 1, min(i + 40, len(lines)))], "a long, b long")
+    both = pairs.join(texts.toDF("a", "s"), "a").join(texts.toDF("b", "t"), "b")
+    want = {(x.a, x.b) for x in both.filter("levenshtein(s, t) <= (0.2 + 1e-9) * greatest(length(s), length(t))").collect()}
+    assert len(want) > 100 and {(x.a, x.b) for x in edit_links(pairs, texts).collect()} == want
+
+
 def test_line_dedup_odd(spark):
     from quire.llm.line_dedup import dedup_lines
 
