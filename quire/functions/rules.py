@@ -209,3 +209,47 @@ def column_of(centre: Column, bounds: Column) -> Column:
     inside = F.array_position(F.transform(bounds, lambda b: centre.between(b["x0"], b["x1"])), True) - 1
     far = F.transform(bounds, lambda b: F.abs(centre - (b["x0"] + b["x1"]) * 0.5))
     return F.when(inside >= 0, inside).otherwise(F.array_position(far, F.array_min(far)) - 1)
+
+
+# Fixed values of paragraphs that go on over a page's end: patterns and limits.
+OPENING_END = r"[《“（(\[〈]$"
+CONTENTS_LINE = r"[\.…·ć\x08\-_]{2,}\s*\d+$"
+PARAGRAPH_START = r"^(?:[（(]?[一二三四五六七八九十\d]+[)）、.．](?:[^0-9%％]|$)|[\[［【]\s*\d+\s*[\]］】](?:[^，。；：、,.]|$)|[①-⑳]|[•●◆■※★\-])"
+YEAR_START = r"^(?:18|19|20)\d{2}[.．]"
+HEAD_PREFIXES = r"(?i)^(?:第[一二三四五六七八九十百零\d]+[章節條条回讲講篇卷]|(?:Chapter|Part)\s*\d+|[一二三四五六七八九十百\d]+[、. 　]+|[（(][一二三四五六七八九十\d]+[)）]|\d+\.\d+(?:\.\d+)?)\s*"
+STOPS = "[。，；？！“”‘’：:]"
+
+
+def bare_heading(c: Column) -> Column:
+    """A text without blanks, circled numbers and a heading's number: what its length as a heading is taken of."""
+    return F.regexp_replace(F.regexp_replace(c, r"[①-⑳\s]", ""), HEAD_PREFIXES, "")
+
+
+def unclosed(c: Column, open_brackets: Column) -> Column:
+    """Whether a text stops within brackets or quotes; open_brackets: those left open, in order."""
+    more = lambda a, b: F.length(F.regexp_replace(c, f"[^{a}]", "")) > F.length(F.regexp_replace(c, f"[^{b}]", ""))
+    return F.rlike(c, F.lit(OPENING_END)) | (F.size(open_brackets) > 0) | more("《", "》") | more("“", "”") | more("（", "）") | more("(", ")")
+
+
+def goes_on(prev: str, curr: str, is_unclosed: Column, body_size: float, base_x0: float, page_width: float) -> Column:
+    """Whether a page's first paragraph (curr) goes on with the last of the page before (prev).
+
+    Columns <p>_text, <p>_size (of font), <p>_style, <p>_lines (number); prev_x1 (end of its
+    last line) and prev_far (the page's right margin); curr_raw (its first line), curr_x0 and curr_x1.
+    """
+    a, b = (lambda n: F.col(f"{prev}_{n}")), (lambda n: F.col(f"{curr}_{n}"))
+    before, after = rstrip(F.regexp_replace(strip(a("text")), REF_TAGS, "")), strip(b("text"))
+    short = (a("x1") > 0) & (a("x1") < a("far") - max(body_size * 2, 20.0))
+    far_short = (a("x1") > 0) & (a("x1") < a("far") - max(body_size * 4, 45.0))
+    head, next_head = bare_heading(before), bare_heading(after)
+    title = (a("lines") == 1) & F.length(head).between(2, 35) & ~F.rlike(head, F.lit(STOPS)) & short & ~F.rlike(head, F.lit("[的了在和与]$"))
+    next_title = (b("lines") == 1) & F.length(next_head).between(2, 35) & ~F.rlike(next_head, F.lit(STOPS)) & ~F.rlike(after, F.lit("[。！？!?…．.]$"))
+    middle = F.abs((b("x0") + b("x1")) / 2 - page_width / 2) < page_width * 0.12
+    centred = middle & (b("x0") > base_x0 + 10) & (F.abs(b("x0") - (page_width - b("x1"))) < max(25.0, page_width * 0.08))
+    starts = (F.rlike(after, F.lit(PARAGRAPH_START)) & ~F.rlike(after, F.lit(YEAR_START))) | F.rlike(b("raw"), F.lit(r"^(?:[　 ]| {2,4})"))
+    refused = (
+        (F.coalesce(a("style"), F.lit("")) != F.coalesce(b("style"), F.lit(""))) | (F.abs(a("size") - b("size")) > 0.6) | (before == "") | (after == "")
+        | F.rlike(strip(a("text")), F.lit(CONTENTS_LINE)) | F.rlike(after, F.lit(CONTENTS_LINE)) | (~is_unclosed & (ends_sentence(before) | title | (far_short & ~F.rlike(before, F.lit(r"[，,、；;：:\-—]$")))))
+        | starts | (b("x0") - base_x0 >= max(10.0, body_size * 1.4)) | centred | next_title
+    )
+    return F.coalesce(~refused, F.lit(False))

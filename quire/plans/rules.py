@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import rules as R, text as T
-from ..operators import footnotes, stitching
+from ..operators import folds, footnotes, stitching
 from ..sources import config
 from ..sources.tables import BOXES_SQL, PAGE_WIDTH, SPANS_SQL, boxes, spans, table
 
@@ -409,7 +409,58 @@ _TAGS = " || ".join(f"'。' || CASE WHEN (page_num + {i}) % 4 < 3 THEN '[^p' ||
 LINKED_SQL = f"""WITH p AS (SELECT source AS book, doc_id + 1 AS page_num, text FROM documents)
 SELECT book, page_num, sha256(text || {_TAGS}) AS digest, 3 AS n_notes, CAST({" + ".join(f"CASE WHEN (page_num + {i}) % 4 < 3 THEN 1 ELSE 0 END" for i in (1, 2, 3))} AS INTEGER) AS n_matched FROM p"""
 
+OWN_ENDS = ("", "。", "，", " p. 3", "（未", "、", "”", " etc.", "-")
+
+
+def _edges(spark, d):
+    """First and last lines of pages, with planted ends, in the order of a book's pages."""
+    rows = spans(spark, d).withColumn("text", F.concat(c("text"), pick(OWN_ENDS, "page_num"))).filter("text <> ''")
+    at = lambda f, n: f(F.struct("text", "font_size", "x0", "x1"), "line_idx").alias(n)
+    pages = rows.groupBy("book", "page_num").agg(at(F.min_by, "first"), at(F.max_by, "last"), F.max("x1").alias("far"))
+    w = Window.partitionBy("book").orderBy("page_num")
+    return pages.withColumns({"before": F.lag("last").over(w), "before_far": F.lag("far").over(w)})
+
+
+def page_continuations(spark, d):
+    """Whether a page goes on with the paragraph that the page before it ended in, and the text that results."""
+    e = _edges(spark, d).filter("before is not null")
+    names = {"a_text": "before.text", "a_size": "before.font_size", "a_x1": "before.x1", "a_far": "before_far", "b_text": "first.text", "b_size": "first.font_size", "b_raw": "first.text", "b_x1": "first.x1"}
+    e = e.select("book", "page_num", *(c(v).alias(k) for k, v in names.items()), F.when(c("page_num") % 2 == 0, c("first.x0") - 21.0).otherwise(c("first.x0")).alias("b_x0"))
+    e = e.withColumns({"a_style": F.lit(""), "b_style": F.when(c("page_num") % 5 == 0, "Note").otherwise(""), "a_lines": (c("page_num") % 3 + 1).cast("int"), "b_lines": F.lit(2)})
+    e = e.withColumn("b_size", c("a_size") + (c("page_num") % 4) * 0.25).withColumn("open", R.unclosed(R.rstrip(T.strip(c("a_text"))), folds.open_brackets(T.strip(c("a_text")))))
+    on = R.goes_on("a", "b", c("open"), 10.5, 60.0, PAGE_WIDTH)
+    return e.select("book", "page_num", on.alias("goes_on"), F.when(on, F.sha2(R.spliced(c("a_text"), c("b_text")), 256)).alias("digest"))
+
+
+def _bare(x):
+    return rf"regexp_replace(regexp_replace({x}, '[①-⑳\s]', '', 'g'), {q(R.HEAD_PREFIXES)}, '')"
+
+
+def _count(x, ch):
+    return f"length(regexp_replace({x}, '[^{ch}]', '', 'g'))"
+
+
+_OPENED = f"translate(ch, '{folds.CLOSE}', '{folds.OPEN}')"
+CONTINUATIONS_SQL = (
+    W
+    + rf""", ended AS (SELECT *, text || {pick_sql(OWN_ENDS, "page_num")} AS t FROM spans), f AS (SELECT book, page_num, arg_min(t, line_idx) AS ft, arg_min(x0, line_idx) AS fx0, arg_min(x1, line_idx) AS fx1,
+  arg_max(t, line_idx) AS lt, arg_max(font_size, line_idx) AS ls, arg_max(x1, line_idx) AS lx1, max(x1) AS far FROM ended WHERE t <> '' GROUP BY book, page_num),
+e AS (SELECT book, page_num, ft AS b, fx1 AS b1, CASE WHEN page_num % 2 = 0 THEN fx0 - 21.0 ELSE fx0 END AS b0, lag(lt) OVER w AS a, lag(lx1) OVER w AS a1, lag(far) OVER w AS far, page_num % 3 + 1 AS al FROM f WINDOW w AS (PARTITION BY book ORDER BY page_num)),
+s AS (SELECT *, regexp_replace(regexp_replace(a, {ENDS}), {q(R.REF_TAGS)}, '') AS x, regexp_replace(b, {ENDS}) AS y, list_reduce(list_prepend('', string_split(regexp_replace(a, '[^（(《〈“‘【\[「『{{）)》〉”’】\]」』}}]', '', 'g'), '')), lambda z, ch: CASE WHEN ch = '' THEN z
+  WHEN NOT contains('{folds.CLOSE}', ch) THEN z || ch WHEN contains(z, {_OPENED}) THEN substr(z, 1, length(z) - strpos(reverse(z), {_OPENED})) ELSE z END) AS o FROM e WHERE a IS NOT NULL),
+k AS (SELECT *, regexp_matches(x, {q(R.OPENING_END)}) OR o <> '' OR {_count("x", "《")} > {_count("x", "》")} OR {_count("x", "“")} > {_count("x", "”")} OR {_count("x", "（")} > {_count("x", "）")} OR {_count("x", "(")} > {_count("x", ")")} AS un,
+  regexp_replace(x, {q(R.TRAILING_MARKS)}, '') AS pl, {_bare("x")} AS h FROM s),
+m AS (SELECT *, regexp_replace(regexp_replace(pl, {q(R.CLOSING)}, ''), '\s+$', '') AS core FROM k),
+n AS (SELECT *, page_num % 5 <> 0 AND (page_num % 4) * 0.25 <= 0.6 AND x <> '' AND y <> '' AND NOT regexp_matches(regexp_replace(a, {ENDS}), {q(R.CONTENTS_LINE.replace(chr(92) + "x08", ""))}) AND NOT regexp_matches(y, {q(R.CONTENTS_LINE.replace(chr(92) + "x08", ""))})
+  AND (un OR NOT (regexp_matches(pl, {q(R.TERMINAL_END)}) OR (ends_with(core, '.') AND NOT regexp_matches(core, {q(R.ABBREVIATION)})) OR (al = 1 AND length(h) BETWEEN 2 AND 35 AND NOT regexp_matches(h, '{R.STOPS}') AND a1 < far - 21.0 AND NOT regexp_matches(h, '[的了在和与]$'))
+    OR (a1 < far - 45.0 AND NOT regexp_matches(x, '[，,、；;：:\-—]$'))))
+  AND NOT (regexp_matches(y, {q(R.PARAGRAPH_START)}) AND NOT regexp_matches(y, {q(R.YEAR_START)})) AND NOT regexp_matches(b, '^(?:[　 ]| {{2,4}})') AND b0 - 60.0 < 14.7
+  AND NOT (abs((b0 + b1) / 2 - {PAGE_WIDTH} / 2) < {PAGE_WIDTH * 0.12} AND b0 > 70 AND abs(b0 - ({PAGE_WIDTH} - b1)) < {max(25.0, PAGE_WIDTH * 0.08)}) AS v FROM m)
+SELECT book, page_num, v AS goes_on, CASE WHEN v THEN sha256(CASE WHEN a = '' THEN b WHEN regexp_matches(a, '{R.CJK_EDGE}$') AND regexp_matches(b, '^{R.CJK_EDGE}') THEN a || b ELSE a || ' ' || b END) END AS digest FROM n"""
+)
+
 QUERIES = {
+    "seq_page_continuations": (page_continuations, CONTINUATIONS_SQL),
     "flt_after_citation": (after_citation, AFTER_SQL),
     "flt_continues_citation": (continuation, CONTINUATION_SQL),
     "flt_heading_like": (heading_like, LIKE_SQL),

@@ -129,3 +129,25 @@ def test_task_feed_and_queues(spark):
     assert sorted(tuple(r) for r in K.subscriber_queues(log, who, 2).collect()) == [("x", 3), ("x", 4), ("y", 3), ("y", 4)]
     assert sorted((r.task_id, r.event_id) for r in K.enqueued(log.limit(2), log.filter("event_id = 5")).collect()) == [(1, 2), (2, 5)]
     assert K.feed(log.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "prev,curr,want",
+    [
+        (("他和朋友走到山下看见一条很长很长的河流在那里，", 10.5, "", 3, 400.0), ("水流很急，他们停了下来看着河面上的船只。", 10.5, "", 2, 60.0), True),
+        (("他和朋友走到山下。", 10.5, "", 3, 400.0), ("水流很急，他们停了下来看着河面上的船只。", 10.5, "", 2, 60.0), False),
+        (("他说：“山下有河。", 10.5, "", 3, 400.0), ("水流很急。”他们停了下来看着河面上的船只。", 10.5, "", 2, 60.0), True),
+        (("他和朋友走到山下看见一条很长很长的河流在那里，", 10.5, "", 3, 400.0), ("（一）水流很急，他们停了下来。", 10.5, "", 2, 60.0), False),
+        (("他和朋友走到山下看见一条很长很长的河流在那里，", 10.5, "", 3, 400.0), ("水流很急，他们停了下来看着河面上的船只。", 12.0, "", 2, 60.0), False),
+        (("他和朋友走到山下看见一条很长很长的河流在那里，", 10.5, "", 3, 400.0), ("水流很急，他们停了下来看着河面上的船只。", 10.5, "", 2, 81.0), False),
+        (("山下的河", 10.5, "", 1, 120.0), ("水流很急，他们停了下来看着河面上的船只。", 10.5, "", 2, 60.0), False),
+        (("", 10.5, "", 3, 400.0), ("水流很急。", 10.5, "", 2, 60.0), False),
+    ],
+)
+def test_goes_on(spark, prev, curr, want):
+    from quire.operators.folds import open_brackets
+
+    row = [(*prev, 400.0, *curr, curr[0], 400.0)]
+    df = spark.createDataFrame(row, "a_text string, a_size double, a_style string, a_lines int, a_x1 double, a_far double, b_text string, b_size double, b_style string, b_lines int, b_x0 double, b_raw string, b_x1 double")
+    opened = R.unclosed(F.col("a_text"), open_brackets(F.col("a_text")))
+    assert df.select(R.goes_on("a", "b", opened, 10.5, 60.0, 595.0).alias("v")).first().v is want
