@@ -408,7 +408,8 @@ class JaccardJoin:
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """(a, b, links) from the sets themselves."""
         ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        made = sets.select("cid", "elements").join(ids, "cid", "left_semi").groupBy("cid").agg(F.first("elements").alias("elements"))
+        ids = self.stage.write(ids, "ids")
+        made = sets.select("cid", "elements").join(self.stage.small(ids), "cid", "left_semi").groupBy("cid").agg(F.first("elements").alias("elements"))
         made = self.stage.write(made, "elements")
         left = pairs.join(made.select(F.col("cid").alias("a"), F.col("elements").alias("x")), "a")
         both = left.join(made.select(F.col("cid").alias("b"), F.col("elements").alias("y")), "b")
@@ -424,7 +425,7 @@ class JaccardJoin:
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(links, pa.bool_())], names=["a", "b", "links"])
 
         out = self.stage.write(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, links boolean"), "verified")
-        self.stage.drop(made)
+        self.stage.drop(made, ids)
         return out
 
     def components(self) -> DataFrame:

@@ -108,7 +108,7 @@ class Model:
 def _examples(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text, its distinct buckets and their weights in its average."""
     out = []
-    for start, stop in pieces(texts, 1 << 20):
+    for start, stop in pieces(texts, 1 << 18):  # features take some hundred times a piece
         raw, off = text_buffer(texts.slice(start, stop - start))
         if not len(raw):
             out += [(np.zeros(0, np.int64), np.zeros(0))] * (stop - start)
@@ -119,7 +119,8 @@ def _examples(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         code, back = np.unique(code, return_inverse=True)
         weight = np.bincount(back, weights=weight)
         cut = np.searchsorted(code, np.arange(stop - start + 1) * BUCKETS)
-        out += [(code[a:b] % BUCKETS, weight[a:b]) for a, b in zip(cut, cut[1:])]
+        bucket = (code % BUCKETS).astype(np.int32)
+        out += [(bucket[a:b], weight[a:b]) for a, b in zip(cut, cut[1:])]
     return out
 
 

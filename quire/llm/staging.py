@@ -79,6 +79,11 @@ class Stage:
             at = jvm.org.apache.hadoop.fs.Path(df._quire_path)
             at.getFileSystem(conf).delete(at, True)
 
+    def clear(self) -> None:
+        """Delete all tables, once nothing reads any of them any more."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
 
 def free_name(name: str, taken: list[str]) -> str:
     """name, with underscores added while a column is called so."""
