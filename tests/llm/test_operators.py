@@ -475,6 +475,16 @@ def test_jaccard(spark, width, num, seed):
     assert [got[i].component_id for i in range(len(texts))] == groups
 
 
+@pytest.mark.parametrize("width,num,seed", [(5, 80, 2), (2, 60, 3)])
+def test_near_join(spark, width, num, seed):
+    from quire.llm.near_join import NearJoin
+
+    texts = near_texts(seed, 120)
+    sizes, groups = brute_jaccard(texts, width, num, 100)
+    got = {x.doc_id: x for x in NearJoin(spark, docs_of(spark, texts), width, num, 100).components().collect()}
+    assert [got[i].n_shingles for i in range(len(texts))] == sizes and [got[i].component_id for i in range(len(texts))] == groups
+
+
 def test_jaccard_blocks(spark, monkeypatch):
     """Buckets larger than a block are split, without losing a link."""
     from quire.llm import jaccard_join
