@@ -94,15 +94,15 @@ def marker_type(c: Column) -> Column:
 
 
 def marker_number(c: Column) -> Column:
-    """Circled 1-20, superscript digits, the place of a letter, the first digits, else 1."""
+    """Circled 1-20, superscript digits, the place of a letter, the first digits, else 1; null for a number beyond 32 bits."""
     supers = F.regexp_replace(c, "[^⁰¹²³⁴⁵⁶⁷⁸⁹]", "")
     letter = F.lower(F.regexp_extract(c, "[a-zA-Z]", 0))
     digits = F.regexp_extract(c, r"\d+", 0)
     return (
         F.when(F.rlike(c, F.lit("^[①-⑳]$")), F.ascii(c) - 0x2460 + 1)
-        .when(supers != "", F.translate(supers, *SUPERSCRIPTS).cast("int"))
+        .when(supers != "", F.translate(supers, *SUPERSCRIPTS).try_cast("int"))
         .when(letter != "", F.ascii(letter) - 96)
-        .when(digits != "", digits.cast("int"))
+        .when(digits != "", digits.try_cast("int"))
         .otherwise(1)
     )
 

@@ -22,3 +22,10 @@ def test_planted_markers_only(spark, tmp_path):
     """A marker at the text's own beginning is none of the planted ones; texts may be empty or missing."""
     got, want = both(spark, tmp_path, "scl_detect_markers", ["A dog", "①", "[5] b", "²", ")a b", "Of dogs", "", None])
     assert got == want and len(got) == 8 * 5
+
+
+def test_marker_numbers_beyond_an_int(spark, tmp_path):
+    """Numbers that fit no int are null in the SQL and may not fail."""
+    lines = ["x"] * 19 + ["9" * 30]  # the seed of this line has no letter
+    got, want = both(spark, tmp_path, "scl_marker_number", ["\n".join(lines), "\n2147483648\n\n¹²³⁴⁵⁶⁷⁸⁹⁰¹²", "\n2147483647", ""])
+    assert got == want and [r[3] for r in got].count(None) == 3
