@@ -64,8 +64,11 @@ def toc_match(headings: DataFrame, toc: DataFrame, threshold: float = 0.8) -> Da
     """Level of each heading (id, page, title) by the table of contents (toc_idx, page, title, level) of the same book.
 
     The same title within two pages first, else the first entry within three pages whose characters are similar enough; 0 without.
+    A book may be long, so headings meet entries of their own run of four pages and those beside it.
     """
-    both = headings.join(toc.select("book", "toc_idx", F.col("page").alias("toc_page"), F.col("title").alias("toc_title"), "level"), "book", "left")
+    part = F.floor(F.col("page") / 4)
+    entries = toc.select("book", "toc_idx", F.col("page").alias("toc_page"), F.col("title").alias("toc_title"), "level", F.explode(F.array(part - 1, part, part + 1)).alias("part"))
+    both = headings.withColumn("part", part).join(entries, ["book", "part"], "left")
     far = F.abs(F.col("toc_page") - F.col("page"))
     exact = (F.col("title") == F.col("toc_title")) & (far <= 2)
     near = (far <= 3) & (char_jaccard(F.col("title"), F.col("toc_title")) >= threshold)
