@@ -400,6 +400,37 @@ def test_bm25(spark, shard_docs, query_block):
         assert [d for d, _ in got[q]] == [d for d, _ in want]
 
 
+@pytest.mark.parametrize("long", [2, 64])
+def test_bm25_shard_sums(monkeypatch, long):
+    """Lists copied one by one or together add up to the same: for each text the rare terms' contributions, by number in the block, then block."""
+    from quire.llm import bm25
+
+    monkeypatch.setattr(bm25, "LONG", long)
+    r = np.random.default_rng(3)
+    n, vocabulary = 150, 400
+    counts = (r.random((n, vocabulary)) < np.linspace(0.005, 0.5, vocabulary)) * r.integers(1, 4, (n, vocabulary))
+    counts[np.arange(vocabulary) % n, np.arange(vocabulary)] = 1  # every term is there
+    counts[:, 0] = np.arange(n) + 1  # no two texts are equal
+    row, term = np.nonzero(counts)
+    length = counts.sum(1)
+    batch = bm25._index_row(np.arange(n), np.zeros(n, dtype=bool), np.arange(n), [(term.astype(np.int64), row.astype(np.int32), counts[row, term].astype(np.int32), length)])
+    idf = np.linspace(3, 1, vocabulary)
+    data = {c: batch.column(c)[0].as_buffer() for c in ("rows", "counts", *bm25._TYPES) if c != "df"}
+    shard = bm25.Shard(length.mean(), np.arange(vocabulary), idf, **data)
+    asked = [np.sort(r.choice(vocabulary, 60, replace=False)) for _ in range(3)]
+    at, of = np.concatenate(asked), np.repeat(np.arange(3), 60)
+    got = shard.sums(at, of, 3)
+    damp = bm25.K1 * (1 - bm25.B + bm25.B * length / length.mean())
+    part = counts * (bm25.K1 + 1) / (counts + damp[:, None]) * idf
+    rare = (counts > 0).sum(0) <= n / bm25.DENSE
+    texts = shard.ids  # each text is there once
+    for i, terms in enumerate(asked):
+        by_row = got[i].T.ravel()[:n]
+        assert np.allclose(by_row, part[:, terms[rare[terms]]].sum(1)[texts], rtol=1e-5)
+        exact = shard.exact(np.full(n, i), np.arange(n), at, of, 3)
+        assert np.allclose(exact, part[:, terms].sum(1)[texts], rtol=1e-12)
+
+
 def test_bm25_odd(spark):
     from quire.llm.bm25 import top_k
 
