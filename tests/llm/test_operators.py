@@ -312,6 +312,21 @@ def test_line_dedup_recall(spark, n_words):
     assert not any(g and not s for s, g in zip(similar, gone))
 
 
+def test_line_sketch_commonest_last(spark, monkeypatch):
+    """Of common words the commonest come last, so that lines of common words meet by the rarer ones."""
+    from quire.llm import line_dedup
+    from quire.llm.staging import Stage
+
+    monkeypatch.setattr(line_dedup, "COMMON", ((2, 64), (4, 16), (8, 16)))
+    often = {"once": 1, "thrice": 3, "five": 5, "nine": 9}
+    lines = ["nine five thrice once", *(" ".join(w for w, n in often.items() if n > i) for i in range(1, 9))]
+    texts = spark.createDataFrame([("\n".join(lines),)], "norm string")
+    common = line_dedup.common_words(texts, Stage(spark, "sketch"))
+    row = texts.select(line_dedup._sketch(F.lit(lines[0]), 4, common).alias("s"), F.array(*(line_dedup._word_hash(F.lit(w)) for w in often)).alias("h")).first()
+    assert [x % (1 << 29) for x in row.s] == row.h
+    assert [x >> 29 for x in row.s] == [0, 1, 2, 3]
+
+
 def test_edit_links(spark):
     """The cheap bounds settle pairs as the distance itself does."""
     from quire.llm.line_dedup import edit_links
