@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .bytesvec import SPACE, R, mix, pieces, powers, span_hashes, text_buffer, words
-from .staging import free_name, prepare
+from .staging import free_name, give_back, prepare
 
 BUCKETS = 1 << 18
 DIM = 8
@@ -193,7 +193,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DO
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_DOCS) -> Model:
     texts, y = training_sample(docs, labels, most)
-    return train(texts, y)
+    model = train(texts, y)
+    del texts
+    give_back(docs.sparkSession)
+    return model
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "quality_score") -> DataFrame:
